@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, linedup, packing, rules, shards
+from . import ann, bpe, jaccard, linedup, packing, quality, rules, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +21,41 @@ def vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.json"))
     return packing.pack(parts)
 
 
+def op6_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op8_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -42,7 +65,19 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op5_best_fit_packing, op7_histogram_shards, op9_robust_rules, op10_line_spread)
+    f.__name__: f
+    for f in (
+        op1_posting_lists,
+        op2_byte_bpe,
+        op3_warc_merge,
+        op4_ngram_jaccard,
+        op5_best_fit_packing,
+        op6_random_indexing,
+        op7_histogram_shards,
+        op8_noisy_channel,
+        op9_robust_rules,
+        op10_line_spread,
+    )
 }
 
 ORACLES: dict[str, str] = {"op10_line_spread": linedup.ORACLE_SQL}
