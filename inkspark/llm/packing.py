@@ -40,40 +40,46 @@ def _tokenizer(path: str):
 class Coder:
     """Ids of whole texts by a ``tokenizers`` file.
 
-    Each distinct word-like piece is encoded by the library once for each
-    worker and memoised; a text that holds an added token's string, or
-    characters beyond ``_PLAIN``, goes through the library as a whole.
+    A byte-level vocabulary whose ids follow the order of its merges means the
+    same to the tiktoken library, which is several times as fast; it is given
+    the file's own vocabulary. Texts that hold an added token's string, or
+    characters beyond ``_PLAIN``, and files of another kind go through the
+    ``tokenizers`` library itself.
     """
 
-    MEMO = 400_000
-
     def __init__(self, path: str, pattern: str):
-        import regex
+        import json
 
-        from .bpe import spaces
+        import regex
+        import tiktoken
 
         self.tokenizer = _tokenizer(path)
-        self.split = regex.compile(spaces(pattern)).findall
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("|".join([_PLAIN, *map(regex.escape, added)])).search
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Packed little-endian 32-bit ids."""
-        if self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.split(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            missing = [p for p in set(pieces) if p not in memo]
-            if len(memo) + len(missing) > self.MEMO:
-                memo.clear()
-                missing = list(set(pieces))
-            for piece, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                memo[piece] = np.array(coded.ids, "<u4").tobytes()
-            return b"".join(map(memo.__getitem__, pieces))
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.odd = regex.compile("|".join([_PLAIN, *map(regex.escape, sorted(added))])).search
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        vocabulary, merges = parts["model"]["vocab"], parts["model"]["merges"]
+        joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        order = [vocabulary[m] for m in joined]
+        byte = {c: b for b, c in _byte_signs().items()}
+        plain = {t: i for t, i in vocabulary.items() if t not in added}
+        self.fast = None
+        if order == sorted(order) and len(plain) == 256 + len(set(joined)) and parts.get("normalizer") is None and parts["pre_tokenizer"]["type"] == "ByteLevel" and not parts["pre_tokenizer"]["add_prefix_space"]:
+            ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast is None or self.odd(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
@@ -88,16 +94,16 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int = 2048, separator
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coded, end = coder(path, pattern), np.array([separator], "<u4").tobytes()
+        coded, end = coder(path, pattern), np.array([separator], "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist()):
-                    ids = coded.encode(text or "") + end
-                    n = len(ids) // 4
+                    ids = np.append(coded.encode(text or ""), end)
+                    n = len(ids)
                     edges = [0, *range(n % size or size, n + 1, size)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        part = ids[4 * a : 4 * b]
+                        part = ids[a:b].tobytes()
                         rows.append((doc, k, a, b - a, zlib.crc32(part), part)[: 6 if with_ids else 5])
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
