@@ -8,6 +8,7 @@ its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,18 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver collects garbage, which a long run of
+    stages may not do for half an hour. The scheduler still holds the last job,
+    so a job over one row takes its place first.
+    """
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, drop, store
+from ._shared import cut, drop, release_shuffles, store
 from ._text import Words, mix, words
 from .links import components
 
@@ -107,11 +107,10 @@ def shingle_sets(docs: DataFrame, percent: int, size: int, heads: bool, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, k long, n int, need int, grams array<long>")
 
 
-def _ordered(texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     """Survivors' classes: k, n, the count u of n-grams that no other class has, and the others rare-first."""
-    sets = shingle_sets(texts, percent, size, heads=False).where("n > 0").dropDuplicates(["k"])
-    rows = cut(sets.select("k", "n", F.explode("grams").alias("gram")))
-    common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = sets.select("k", "n", F.explode("grams").alias("gram"))
+    common = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return (
         rows.join(common, "gram")
@@ -205,22 +204,38 @@ def class_links(ordered: DataFrame, percent: int, spanning: bool) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
-    spark = docs.sparkSession
-    rows, heads_path = store(shingle_sets(docs, percent, size, True, id_col, text_col), "heads")
+def _survivors(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k, n) of every row, and the classes k that may have a partner."""
+    rows, path = store(shingle_sets(docs, percent, size, True, id_col, text_col), "heads")
     keys = cut(rows.select("doc_id", "k", "n"))
     grams = rows.where("n > 0").select("k", "need", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("gram")
     hits = grams.join(common, "gram", "left_semi").groupBy("k", "need").agg(F.count(F.lit(1)).alias("hits"))
     near = cut(hits.where("hits >= need").select("k"))
-    drop(spark, heads_path)
+    drop(docs.sparkSession, path)
+    return keys, near
+
+
+def _class_sets(docs: DataFrame, keys: DataFrame, near: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """k, n and the whole set of each surviving class, from one of its texts."""
     chosen = cut(keys.join(near, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nameless")))
     ids = chosen.select(F.col("id").alias("_id")).unionByName(chosen.where("nameless").select(F.lit(None).cast("long").alias("_id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi")
-    ordered, _ = store(_ordered(texts, percent, size), "ordered")
+    sets = shingle_sets(texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi"), percent, size, heads=False).where("n > 0").select("k", "n", "grams")
+    return store(sets.dropDuplicates(["k"]) if repeated else sets, "sets")[0]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    spark = docs.sparkSession
+    keys, near = _survivors(docs, percent, size, id_col, text_col)
+    release_shuffles(spark)
+    sets = _class_sets(docs, keys, near, percent, size, id_col, text_col)
+    release_shuffles(spark)
+    ordered, _ = store(_ordered(sets, percent), "ordered")
+    release_shuffles(spark)
     roots = components(class_links(ordered, percent, spanning=True))
+    repeated = keys.join(ids, keys.doc_id.eqNullSafe(ids._id), "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
     rooted = keys.join(roots, keys.k == roots.node, "left").select("doc_id", "k", "n", F.coalesce("root", "k").alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
