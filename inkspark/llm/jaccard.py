@@ -19,10 +19,11 @@ Whatever links classes is found in three steps:
 3. *Verification.* Each candidate pair is verified once, behind the suffix
    filter, by intersecting the two ordered sets.
 
-With ``spanning`` (enough for components) candidates come in rounds: first
-each n-gram's texts meet only one of them, its hub; then texts that are still
-in different components meet, those of an n-gram's largest component standing
-on one side only. So a group of near copies costs links in proportion to its
+With ``spanning`` (enough for components) candidates come in rounds: at first
+each n-gram's texts meet only one of them, its hub, and each text is held
+against the hub it meets most often; at last all texts that are still in
+different components meet, those of an n-gram's largest component standing on
+one side only. So a group of near copies costs links in proportion to its
 size and not to its square, and no link between components is missed. Without
 it every candidate pair is verified and all links are returned.
 
@@ -47,6 +48,7 @@ from .links import components
 
 #: Share of a set by which survivors' prefixes exceed the plain prefix filter.
 EXTRA = 0.05
+#: Rounds in which every text is held against one hub, before the complete one.
 ROUNDS = 2
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -127,14 +129,14 @@ def _overlap(n: str, m: str, percent: int):
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filter on (k, n, pos) and (k2, n2, pos2), then distinct pairs a < b."""
+    """Length and positional filter on rows of (k, n, pos) and (k2, n2, pos2)."""
     longer, shorter = F.greatest("n", "n2"), F.least("n", "n2")
     rest = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    return (
-        pairs.where((F.col("k") != F.col("k2")) & (100 * shorter >= percent * longer) & (rest >= _overlap("n", "n2", percent)))
-        .select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-        .distinct()
-    )
+    return pairs.where((F.col("k") != F.col("k2")) & (100 * shorter >= percent * longer) & (rest >= _overlap("n", "n2", percent)))
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
 
 
 def _suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
@@ -172,33 +174,35 @@ def class_links(ordered: DataFrame, percent: int, spanning: bool) -> DataFrame:
     spark = ordered.sparkSession
     rows = cut(
         ordered.select("k", "n", "u", F.posexplode(F.expr("slice(grams, 1, cast(n - ceil(n * %d / 100) + 1 - u as int))" % percent)))
-        .select(F.col("col").alias("gram"), "k", "n", (F.col("u") + F.col("pos")).cast("int").alias("pos"))
+        .select(F.col("col").alias("gram"), "k", "n", (F.col("u") + F.col("pos")).cast("int").alias("pos"), (1000 * F.col("u") / F.col("n")).cast("int").alias("own"))
     )
     other = [F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")]
     if not spanning:
         pairs = rows.join(rows.select("gram", *other), "gram").where("k < k2")
-        return verified(_filtered(pairs, percent), ordered, percent)
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
+        return verified(_distinct_pairs(_filtered(pairs, percent)), ordered, percent)
+    links = tried = spark.createDataFrame([], "a long, b long")
     roots = None
     for turn in range(ROUNDS + 1):
         active = rows.withColumn("root", F.col("k")) if roots is None else rows.join(roots, rows.k == roots.node, "left").select(*rows.columns, F.coalesce("root", "k").alias("root"))
         mixed = active.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-        active = active.join(mixed, "gram", "left_semi")
+        active = cut(active.join(mixed, "gram", "left_semi"))
+        partner = F.struct(*other, F.col("root").alias("root2"))
         if turn < ROUNDS:
-            hub = active.groupBy("gram").agg(F.min_by(F.struct(*other, F.col("root").alias("root2")), F.xxhash64("k", F.lit(turn))).alias("h")).select("gram", "h.*")
-            pairs = active.join(hub, "gram").where("root <> root2")
+            # first the hub has the fewest n-grams of its own: of near copies, one close to what they are copies of
+            hub = active.groupBy("gram").agg(F.min_by(partner, F.struct(F.lit(0) if turn else F.col("own"), F.xxhash64("k", F.lit(turn)))).alias("h")).select("gram", "h.*")
+            met = _filtered(active.join(hub, "gram").where("root <> root2"), percent).groupBy("k", "k2").count()
+            met = met.withColumns({"a": F.least("k", "k2"), "b": F.greatest("k", "k2")}).join(tried, ["a", "b"], "left_anti")
+            # of all hubs that a text meets, the one that it meets most often
+            best = met.groupBy("k").agg(F.max_by("k2", F.struct("count", "k2")).alias("k2"))
+            fresh = cut(_distinct_pairs(best))
         else:
-            active = cut(active)
             sizes = active.groupBy("gram", "root").count()
             largest = sizes.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
             small = active.join(largest, "gram").where("root <> largest").select("gram", *other, F.col("root").alias("root2"))
-            pairs = active.join(small, "gram").where("root <> root2")
-        fresh = _filtered(pairs, percent).join(tried, ["a", "b"], "left_anti")
-        fresh = cut(fresh)
+            pairs = _filtered(active.join(small, "gram").where("root <> root2"), percent)
+            fresh = cut(_distinct_pairs(pairs).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(fresh)
-        found = cut(verified(fresh, ordered, percent))
-        links = links.unionByName(found)
+        links = links.unionByName(cut(verified(fresh, ordered, percent)))
         if turn < ROUNDS:
             roots = components(links)
     return links
@@ -220,6 +224,7 @@ def _class_sets(docs: DataFrame, keys: DataFrame, near: DataFrame, percent: int,
     """k, n and the whole set of each surviving class, from one of its texts."""
     chosen = cut(keys.join(near, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nameless")))
     ids = chosen.select(F.col("id").alias("_id")).unionByName(chosen.where("nameless").select(F.lit(None).cast("long").alias("_id"))).distinct()
+    repeated = keys.join(ids, keys.doc_id.eqNullSafe(ids._id), "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = shingle_sets(texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi"), percent, size, heads=False).where("n > 0").select("k", "n", "grams")
     return store(sets.dropDuplicates(["k"]) if repeated else sets, "sets")[0]
@@ -235,7 +240,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     ordered, _ = store(_ordered(sets, percent), "ordered")
     release_shuffles(spark)
     roots = components(class_links(ordered, percent, spanning=True))
-    repeated = keys.join(ids, keys.doc_id.eqNullSafe(ids._id), "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
     rooted = keys.join(roots, keys.k == roots.node, "left").select("doc_id", "k", "n", F.coalesce("root", "k").alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
