@@ -67,12 +67,12 @@ def all_mentions(notes: DataFrame) -> DataFrame:
     word = md.WORD_SIGN + "+"
     named = notes.select(F.col("path").alias("dst"), F.lower(stem("path")).alias("name")).where((F.length("name") >= 3) & F.col("name").rlike("^" + md.WORD_SIGN))
     named = named.withColumn("parts", F.regexp_extract_all("name", F.lit(word), F.lit(0)))
-    keyed = named.select("dst", "name", F.col("parts")[0].alias("first"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("second"))
+    keyed = named.select("dst", "name", F.array_join(F.slice("parts", 1, 2), " ").alias("key"))
     text = notes.select("path", F.lower(md.without_links("content")).alias("text"), F.transform(md.links("content"), F.lower).alias("links"))
-    found = text.select("path", "links", "text", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("words"))
-    grams = F.transform("words", lambda w, i: F.struct(w.alias("first"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("second")))
-    looked = found.select("path", F.explode(F.array_distinct(F.concat(grams, F.transform("words", lambda w: F.struct(w.alias("first"), F.lit("").alias("second")))))).alias("g")).select("path", "g.*")
-    candidates = looked.join(keyed, ["first", "second"]).where("path <> dst").select("path", "dst", "name").distinct()
+    found = text.select("path", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("words"))
+    pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
+    looked = found.select("path", F.explode(F.array_distinct(F.concat("words", pairs))).alias("key"))
+    candidates = looked.join(keyed, "key").where("path <> dst").select("path", "dst", "name").distinct()
     both = candidates.join(text, "path").where(~F.array_contains("links", F.col("name")))
     literal = F.concat(F.lit(rf"(?u)(?<!{md.WORD_SIGN})\Q"), F.col("name"), F.lit(rf"\E(?!{md.WORD_SIGN})"))
     return both.select("path", "dst", F.regexp_count("text", literal).cast("long").alias("count")).where("count > 0")
@@ -80,23 +80,22 @@ def all_mentions(notes: DataFrame) -> DataFrame:
 
 def term_weights(notes: DataFrame) -> DataFrame:
     """path, term, weight: TF-IDF with frequencies relative to the note's length."""
-    terms = notes.select("path", F.explode(md.terms("content")).alias("term"))
-    counts = terms.groupBy("path", "term").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.groupBy("path").agg(F.sum("n").alias("size"))
+    terms = notes.select("path", md.terms("content").alias("terms")).select("path", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    counts = terms.groupBy("path", "size", "term").agg(F.count(F.lit(1)).alias("n"))
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = notes.select(F.count(F.lit(1))).scalar()
-    return counts.join(size, "path").join(spread, "term").select("path", "term", ((F.col("n") / F.col("size")) * (F.log(total / F.col("df")) + 1)).alias("weight"))
+    return counts.join(spread, "term").select("path", "term", ((F.col("n") / F.col("size")) * (F.log(total / F.col("df")) + 1)).alias("weight"))
 
 
 def related(notes: DataFrame, path: str, limit: int = 8) -> DataFrame:
     """Notes closest to ``path`` by TF-IDF cosine: path, score, linked."""
     weights = term_weights(notes)
-    norms = weights.groupBy("path").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     mine = weights.where(F.col("path") == path).select("term", F.col("weight").alias("own"))
-    dots = weights.where(F.col("path") != path).join(mine, "term").groupBy("path").agg(F.sum(F.col("weight") * F.col("own")).alias("dot"))
-    own = norms.where(F.col("path") == path).select("norm").scalar()
+    # one pass over all weights gives every norm and every product with the note
+    met = weights.join(mine, "term", "left").groupBy("path").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum(F.col("weight") * F.col("own")).alias("dot"))
+    own = F.sqrt(mine.agg(F.sum(F.col("own") * F.col("own"))).scalar())
     near = resolved(notes).where(((F.col("src") == path) | (F.col("dst") == path)) & F.col("dst").isNotNull()).select(F.explode(F.array("src", "dst")).alias("path")).where(F.col("path") != path).distinct().withColumn("linked", F.lit(True))
-    scored = dots.join(norms, "path").select("path", F.round(F.col("dot") / (F.col("norm") * own), 6).alias("score")).where("score > 0")
+    scored = met.where((F.col("path") != path) & F.col("dot").isNotNull()).select("path", F.round(F.col("dot") / (F.col("norm") * own), 6).alias("score")).where("score > 0")
     return scored.join(near, "path", "left").select("path", "score", F.coalesce("linked", F.lit(False)).alias("linked")).orderBy(F.desc("score"), "path").limit(limit)
 
 
