@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.names import folder, palette_score, stem
+from ..lineage import cut
 
 # Hues of top folders in turn; saturation and lightness rules.
 HUES = (205, 145, 332, 40, 265, 190, 355, 95, 22, 240, 170, 300)
@@ -167,9 +168,9 @@ def layout_step(placed: DataFrame, links: DataFrame, heat: float) -> DataFrame:
 
 def layout(nodes: DataFrame, links: DataFrame, steps: int) -> DataFrame:
     """Positions after some steps; each step's result is checkpointed."""
-    placed, heat = seeds(nodes), START
+    placed, links, heat = cut(seeds(nodes)), cut(links), START
     for _ in range(steps):
-        placed = layout_step(placed, links, heat).checkpoint()
+        placed = cut(layout_step(placed, links, heat))
         heat *= COOLING
     return placed
 

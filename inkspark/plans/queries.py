@@ -542,3 +542,97 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.date_format("at", "yyyy-MM-dd").alias("day"), nm.capture_line(F.col("at"), "event_type").alias("line"),
         nm.template(F.lit("# {{ title }} on {{DATE}} at {{time}} {{other}}"), "event_type", F.col("at")).alias("filled"),
     )
+
+
+@query(f"""WITH {B}, s AS (SELECT path, regexp_replace(content, '(?s)\\[\\[.*?\\]\\]', ' ', 'g') AS text FROM b)
+SELECT path, len(regexp_extract_all(lower(text), '(?:^|[^\\pL\\pN_])license(?:$|[^\\pL\\pN_])'))::BIGINT AS n FROM s
+WHERE regexp_matches(lower(text), '(?:^|[^\\pL\\pN_])license(?:$|[^\\pL\\pN_])')""")
+def linked_mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = derived.notes(spark, sf_dir).where(F.lower("content").contains("license")).select("path", md.link_mentions("content", "License").alias("r"))
+    return linked.where("r.n > 0").select("path", F.col("r.n").cast("long").alias("n"))
+
+
+@query(f"WITH {B} SELECT path, 'Doc ' || doc_id AS target, 'Doc ' || doc_id AS label FROM b WHERE source = 'src7'")
+def linked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dql.run(derived.notes(spark, sf_dir), "TABLE file.link WHERE source = src7").frame
+    return rows.select("path", nm.link_cell(F.col("row")[0]).alias("cell")).select("path", "cell.target", "cell.label")
+
+
+@query(with_notes("""SELECT path, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size
+FROM (SELECT path, strlen(content) AS n FROM notes)"""))
+def note_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.notes(spark, sf_dir).select("path", nm.size_label(F.octet_length("content")).alias("size"))
+
+
+@query(f"""WITH {POSTS_CTE} SELECT pos, title, link, 'A' || (pos % 5) AS author, category AS categories, 't' || (pos % 3) AS tags FROM posts""")
+def posts_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written as the site's JSON, read back with their authors looked up."""
+    term = lambda name, kind: F.struct(F.lit(kind).alias("taxonomy"), name.alias("name"))
+    page = derived.posts(spark, sf_dir).select(
+        "pos",
+        F.to_json(F.struct(
+            F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(F.lit("x").alias("rendered")).alias("content"), "link", (F.col("pos") % 5).alias("author"),
+            F.struct(F.array(F.array(term(F.col("categories")[0], "category")), F.array(term(F.concat(F.lit("t"), F.col("pos") % 3), "post_tag"))).alias("wp:term")).alias("_embedded"),
+        )).alias("json"),
+    )
+    authors = spark.range(5).select("id", F.concat(F.lit("A"), "id").alias("name"))
+    read = importing.posts_from_json(page, authors)
+    title = derived.posts(spark, sf_dir).select("pos", F.col("title").alias("raw"))
+    # titles are decoded on the way in; the twin has them as they were
+    return read.join(title, "pos").select("pos", F.col("raw").alias("title"), "link", "author", F.array_join("categories", "|").alias("categories"), F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {POSTS_CTE} SELECT pos AS id, author AS name FROM posts WHERE pos <> 0")
+def feed_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors that a feed names, found by the links of its items."""
+    posts = derived.posts(spark, sf_dir)
+    item = F.concat(F.lit("<item><link>"), F.upper(F.substring("link", 1, 5)), F.expr("substr(link, 6)"), F.lit("/</link><dc:creator><![CDATA[ "), "author", F.lit(" ]]></dc:creator></item>"))
+    feeds = posts.groupBy((F.col("pos") % 7).alias("page")).agg(F.array_join(F.collect_list(item), "").alias("xml"))
+    return importing.feed_authors(feeds, posts)
+
+
+@query(f"""WITH {POSTS_CTE}, t AS (SELECT 'Kategorie' AS kind, category AS name, pos, title FROM posts UNION ALL SELECT 'Autor', author, pos, title FROM posts WHERE author <> '')
+SELECT 'Blog/' || regexp_replace(name, '[/\\\\:*?"<>|]', '-', 'g') || '.md' AS path,
+'---' || chr(10) || 'source: import' || chr(10) || '---' || chr(10) || chr(10) || '# ' || name || chr(10) || chr(10) || kind || ' mit ' || count(*) || ' Beiträgen:' || chr(10) || chr(10)
+|| string_agg('- [[' || regexp_replace(trim(title), '[/\\\\:*?"<>|]', '-', 'g') || ']]', chr(10) ORDER BY pos) || chr(10) AS content
+FROM t GROUP BY kind, name""")
+def hub_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importing.notes_of(derived.posts(spark, sf_dir), "Blog").where("kind = 'hub'").select("path", "content")
+
+
+@query("""SELECT p_partkey, list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(p_name, ''), lambda ch: ascii(ch)::HUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT)::VARCHAR AS hash,
+'https://host/dav/' || replace(p_name, ' ', '%20') AS url FROM part""")
+def remote_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = derived.table(spark, sf_dir, "part")
+    return part.select("p_partkey", nm.djb2("p_name").alias("hash"), nm.join_url(F.lit("https://host/dav/"), "p_name").alias("url"))
+
+
+@query(f"""WITH {SNAPSHOTS_CTE}, k AS (SELECT * FROM snaps WHERE path <> 'u/2.md')
+SELECT CASE WHEN path = 'u/1.md' THEN 'moved/1.md' ELSE path END AS path, count(*) AS n, max(taken_at) AS newest FROM k GROUP BY 1""")
+def history_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One note's history forgotten, another's moved along."""
+    log = history.relocate(history.forget(derived.snapshots(spark, sf_dir), "u/2.md"), "u/1.md", "moved/1.md")
+    return log.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("taken_at").alias("newest"))
+
+
+@query(with_notes("""SELECT CASE WHEN doc_id = 5 THEN 'archive/Doc 5.md' ELSE path END AS path FROM notes"""))
+def move_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.move(derived.notes(spark, sf_dir), _path_of(spark, sf_dir, 5), "/archive/").select("path")
+
+
+@query(with_notes("""SELECT path, modified, length(content) AS n FROM notes WHERE doc_id >= 10
+UNION ALL SELECT path, modified + 1, 3 FROM notes WHERE doc_id < 10
+UNION ALL SELECT 'new.md', 0, 3"""))
+def upsert_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = derived.notes(spark, sf_dir)
+    few = notes.where(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") < 10).select("path", F.lit("new").alias("content"), (F.col("modified") + 1).alias("modified"))
+    changes = few.unionByName(spark.range(1).select(F.lit("new.md").alias("path"), F.lit("new").alias("content"), F.lit(0).cast("long").alias("modified")))
+    return rewrite.upsert(notes, changes).select("path", "modified", F.length("content").cast("long").alias("n"))
+
+
+@query()
+def layout_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions after two steps of the force layout."""
+    notes = derived.notes(spark, sf_dir)
+    nodes = graph.nodes(notes).select("path").withColumn("i", F.row_number().over(Window.orderBy("path")) - 1)
+    return folders.layout(nodes, graph.pairs(notes), 2)

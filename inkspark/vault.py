@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .functions import markdown as md
 from .functions.names import stem
 from .operators import folders, graph, rewrite, search
+from .operators.history import diff_rows
 from .plans import dql
 from .sources.vault import VaultSource, inside
 
@@ -56,6 +57,31 @@ class Vault:
     def backlinks(self, path: str) -> DataFrame:
         return graph.backlinks_of(self.notes(), path)
 
+    def graph(self, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges."""
+        return graph.nodes(self.notes(), exclude), graph.edges(self.notes(), exclude)
+
+    def outgoing(self, path: str) -> DataFrame:
+        return graph.outgoing(self.notes()).where(F.col("src") == path).orderBy("pos")
+
+    def mentions(self, path: str) -> DataFrame:
+        """Notes that name this one without linking to it."""
+        return search.unlinked_mentions(self.notes(), path, path.rpartition("/")[2].removesuffix(".md"))
+
+    def tree(self) -> DataFrame:
+        return folders.tree(self.notes())
+
+    def calendar(self, folder: str, year: int, month: int) -> DataFrame:
+        return folders.month_grid(self.spark, self.notes(), folder, year, month).orderBy("cell")
+
+    def replace_preview(self, find: str) -> DataFrame:
+        return rewrite.replace_preview(self.notes(), find)
+
+    def diff(self, path: str, version: str) -> list[tuple[int, str, str]]:
+        """A snapshot against the present text, line by line."""
+        with open(os.path.join(self.history, path, f"{int(version)}.md"), encoding="utf-8", newline="") as f:
+            return diff_rows(f.read(), self.read_note(path))
+
     def related(self, path: str, limit: int = 8) -> DataFrame:
         return search.related(self.notes(), path, limit)
 
@@ -119,6 +145,34 @@ class Vault:
             self.write_note(r.path, r.content)
         return new, len(changed)
 
+    def move_note(self, path: str, folder: str) -> str:
+        """Move a note under a free name; links follow its stem and need no repair."""
+        self._ensure_write()
+        row = self.spark.createDataFrame([(0, folder, path.rpartition("/")[2].removesuffix(".md"))], "pos long, folder string, title string")
+        new = rewrite.free_paths(self.notes().where(F.col("path") != path), row).first()["path"]
+        os.makedirs(os.path.dirname(inside(self.root, new)), exist_ok=True)
+        os.replace(inside(self.root, path), inside(self.root, new))
+        return new
+
+    def update_note(self, path: str, content: str, client: str | None = None) -> dict[str, Any]:
+        """An assistant's new text for a note: stamped, written, its links checked."""
+        self._ensure_write()
+        rows = self.spark.createDataFrame([(content,)], "content string").select(md.ai_stamp("content", client).alias("c"))
+        self.write_note(path, rows.first()["c"])
+        return self.check_links(content)
+
+    def replace(self, find: str, replacement: str, rename_notes: bool = False) -> int:
+        """Replace a text everywhere, with renames if asked for; how many notes changed."""
+        self._ensure_write()
+        old = {r.path: r.content for r in self.notes().where(F.col("content").contains(find) | F.col("path").contains(find) | F.lit(rename_notes)).collect()} if find else {}
+        new = {r.path: r.content for r in rewrite.replace_all(self.notes().select("path", "content"), find, replacement, rename_notes).collect()} if find else {}
+        changed = [p for p, text in new.items() if old.get(p, text if p not in old and not rename_notes else None) != text]
+        for p in changed:
+            self.write_note(p, new[p])
+        for p in old.keys() - new.keys():
+            os.remove(inside(self.root, p))
+        return len(changed)
+
     def delete_note(self, path: str) -> list[str]:
         """Delete a note; the notes whose links break by it."""
         self._ensure_write()
@@ -188,13 +242,14 @@ class Endpoint:
             "list_folders": vault.list_folders,
             "read_note": vault.read_note,
             "search_notes": lambda query: rows(vault.search(query)),
-            "get_backlinks": lambda path: rows(vault.backlinks(path)),
+            "list_backlinks": lambda path: rows(vault.backlinks(path)),
+            "list_outgoing_links": lambda path: rows(vault.outgoing(path)),
+            "unlinked_mentions": lambda path: rows(vault.mentions(path)),
             "related_notes": lambda path, limit=8: rows(vault.related(path, limit)),
             "find_link_candidates": lambda text, limit=8: rows(vault.candidates(text, limit)),
-            "validate_links": vault.check_links,
             "create_note": lambda title, content, folder="", client=None: vault.create_note(folder, title, content, client, ai=True),
-            "update_note": vault.write_note,
-            "append_note": vault.append_note,
+            "update_note": vault.update_note,
+            "move_note": vault.move_note,
             "rename_note": vault.rename_note,
             "delete_note": vault.delete_note,
             "create_folder": vault.create_folder,

@@ -59,12 +59,27 @@ def test_calls(spark, root):
         save_asset(root, "../i.png", b"")
 
 
+def test_more_calls(spark, root):
+    vault = Vault(spark, root)
+    assert vault.move_note("sub/B.md", "deep/er") == "deep/er/B.md" and vault.move_note("deep/er/B.md", "") == "B.md"
+    assert [r.target for r in vault.outgoing("A.md").collect()] == ["b"] and vault.mentions("B.md").count() == 0
+    assert vault.update_note("B.md", "[[a]]", "codex")["resolved"] == ["a"] and "author: ai" in vault.read_note("B.md")
+    assert vault.replace("Alpha", "Omega") == 1 and "Omega" in vault.read_note("A.md")
+    assert vault.replace("A", "Z", rename_notes=True) >= 1 and os.path.exists(f"{root}/Z.md") and not os.path.exists(f"{root}/A.md")
+    version = vault.snapshot("Z.md")
+    vault.append_note("Z.md", "end")
+    assert ("add", "end") in {r[1:] for r in vault.diff("Z.md", version)}
+    assert vault.tree().count() == 2 and vault.calendar("Journal", 2024, 2).count() == 32
+    nodes, edges = vault.graph()
+    assert nodes.count() >= 4 and edges.count() >= 2
+
+
 def test_endpoint(spark, root):
     end = Endpoint(Vault(spark, root, allow_write=False))
     assert json.loads(end.answer("{"))["error"]["code"] == -32700
     assert json.loads(end.answer('{"id": 1, "method": "no"}'))["error"]["code"] == -32601
     assert end.answer('{"method": "ping"}') is None
-    assert len(json.loads(end.answer('{"id": 1, "method": "tools/list"}'))["result"]["tools"]) == 16
+    assert len(json.loads(end.answer('{"id": 1, "method": "tools/list"}'))["result"]["tools"]) == 17
     call = {"id": 2, "method": "tools/call", "params": {"name": "read_note", "arguments": {"path": "A.md"}}}
     assert "Alpha" in json.loads(end.answer(json.dumps(call)))["result"]["content"][0]["text"]
     call["params"] = {"name": "create_folder", "arguments": {"name": "z"}}
