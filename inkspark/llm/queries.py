@@ -30,7 +30,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    index = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op10_line_spread": linedup.ORACLE_SQL}
+_DIGIT = "(strpos('0123456789abcdef', substr(h, 5 * i + {j} + 1, 1)) - 1)"
+_VALUE = " + ".join(f"{_DIGIT.format(j=j)} * {16 ** (4 - j)}" for j in range(5))
+_SIGNS = " || ".join(f"substr('{warc.BASE32}', ((v >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(list_transform(range(0, 8), lambda i: CAST({_VALUE} AS INTEGER)), lambda v: {_SIGNS}), '') AS digest,
+             max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM d
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS k, g FROM s),
+c AS (SELECT k, any_value(n) AS n, any_value(g) AS g FROM k WHERE k IS NOT NULL GROUP BY k),
+t AS (SELECT k, n, unnest(g) AS gram FROM c),
+l AS (
+  SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.gram = b.gram AND a.k <> b.k
+  GROUP BY a.k, b.k HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+least AS (SELECT r.a AS k, min(k.doc_id) AS least FROM reach r JOIN k ON k.k = r.b GROUP BY r.a)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(least.least, k.doc_id) AS component_id FROM k LEFT JOIN least ON least.k = k.k
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_merge": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op10_line_spread": linedup.ORACLE_SQL}
