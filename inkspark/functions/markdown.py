@@ -72,7 +72,7 @@ def ai_stamp(content: Column | str, client: str | None = None) -> Column:
     name = (client or "").strip()
     ok = bool(name) and all(ch.isascii() and (ch.isalnum() or ch in "-_") for ch in name)
     marks = ["author: ai", *([f"ai_client: {name}"] if ok else [])]
-    text = F.regexp_replace(c(content), "^﻿+", "")
+    text = F.regexp_replace(c(content), r"^\x{FEFF}+", "")
     pattern = r"(?s)^---(.*?)(\n---.*)$"
     front, rest = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     kept = F.filter(F.when(front == "", F.array().cast("array<string>")).otherwise(lines(front)), lambda x: ~F.lower(x).rlike(rf"^{WHITE}*(?:author|ai_client):"))
