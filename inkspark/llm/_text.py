@@ -16,7 +16,8 @@ import pyarrow as pa
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 21
+#: Bytes of text that are handled at once; a dozen arrays of eight bytes each stand for every one of them.
+_CHUNK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
@@ -95,7 +96,7 @@ def spans(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
-    """Words of a string column, in chunks of about two megabytes of text."""
+    """Words of a string column, in chunks of about a quarter of a megabyte of text."""
     data, offsets = spans(column)
     at, rows = 0, len(offsets) - 1
     while at < rows:
