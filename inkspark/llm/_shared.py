@@ -9,25 +9,13 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; set here only where none is set."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads survive the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["cut", "drop", "release_shuffles", "scratch_path", "shared_dir", "store"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

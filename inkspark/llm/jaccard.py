@@ -220,14 +220,14 @@ def _survivors(docs: DataFrame, percent: int, size: int, id_col: str, text_col:
     return keys, near
 
 
-def _class_sets(docs: DataFrame, keys: DataFrame, near: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """k, n and the whole set of each surviving class, from one of its texts."""
+def _class_sets(docs: DataFrame, keys: DataFrame, near: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """k, n and the whole set of each surviving class, from one of its texts; and where it is stored."""
     chosen = cut(keys.join(near, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nameless")))
     ids = chosen.select(F.col("id").alias("_id")).unionByName(chosen.where("nameless").select(F.lit(None).cast("long").alias("_id"))).distinct()
     repeated = keys.join(ids, keys.doc_id.eqNullSafe(ids._id), "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = shingle_sets(texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi"), percent, size, heads=False).where("n > 0").select("k", "n", "grams")
-    return store(sets.dropDuplicates(["k"]) if repeated else sets, "sets")[0]
+    return store(sets.dropDuplicates(["k"]) if repeated else sets, "sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,11 +235,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     spark = docs.sparkSession
     keys, near = _survivors(docs, percent, size, id_col, text_col)
     release_shuffles(spark)
-    sets = _class_sets(docs, keys, near, percent, size, id_col, text_col)
+    sets, sets_path = _class_sets(docs, keys, near, percent, size, id_col, text_col)
     release_shuffles(spark)
-    ordered, _ = store(_ordered(sets, percent), "ordered")
+    ordered, ordered_path = store(_ordered(sets, percent), "ordered")
+    drop(spark, sets_path)
     release_shuffles(spark)
     roots = components(class_links(ordered, percent, spanning=True))
+    drop(spark, ordered_path)
+    release_shuffles(spark)
     rooted = keys.join(roots, keys.k == roots.node, "left").select("doc_id", "k", "n", F.coalesce("root", "k").alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
