@@ -141,7 +141,7 @@ class Bpe:
 
 def spaces(pattern: str) -> str:
     """The pattern with white space as Unicode defines it; Python's own class has four more control characters."""
-    white = r"\t-\r \x85\xa0  -     　"
+    white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     outside = pattern.replace(r"[^\s", f"[^{white}")
     return outside.replace(r"\S", f"[^{white}]").replace(r"\s", f"[{white}]")
 

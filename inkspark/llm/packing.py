@@ -53,11 +53,11 @@ class Coder:
         import regex
         import tiktoken
 
-        self.tokenizer = _tokenizer(path)
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.odd = regex.compile("|".join([_PLAIN, *map(regex.escape, sorted(added))])).search
+        self.path = path
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        added = {t["content"] for t in parts.get("added_tokens", [])}
+        self.odd = regex.compile("|".join([_PLAIN, *map(regex.escape, sorted(added))])).search
         vocabulary, merges = parts["model"]["vocab"], parts["model"]["merges"]
         joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
         order = [vocabulary[m] for m in joined]
@@ -71,7 +71,7 @@ class Coder:
     def encode(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
         if self.fast is None or self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
