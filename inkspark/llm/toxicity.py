@@ -50,7 +50,6 @@ IMITATES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz", "€": "e", "#": "h",
 }
 COST_SIGN, COST_MASK, COST_KEEP, COST_RUN = 0.5, 3.0, 6.0, 0.3
-LONGEST = 40
 
 _L = "a-zß-öø-ÿ"
 _S = r"0-9@$!|+*€#"
@@ -103,9 +102,15 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of disguised spans, memoised for each worker."""
+    """Viterbi decoding of disguised spans of any length, memoised for each worker.
 
-    MEMO = 200_000
+    A state is a pair of letters, so the work is linear in the span.
+    """
+
+    #: Entries of the memory, and the length up to which a span is remembered.
+    MEMO, REMEMBERED = 200_000, 40
+    #: Paths at a position from which on a step is taken in numpy.
+    MANY = 200
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
@@ -117,8 +122,8 @@ class Restorer:
 
     def _span(self, match: re.Match) -> str:
         span = match[0]
-        if len(span) > LONGEST:  # longer runs are no words: keys, hashes, rules
-            return span
+        if len(span) > self.REMEMBERED:
+            return self.decode(span)
         known = self.memo.get(span)
         if known is None:
             if len(self.memo) >= self.MEMO:
@@ -150,23 +155,46 @@ class Restorer:
         return out
 
     def decode(self, span: str) -> str:
+        """The cheapest text; paths are chains of (chain before, piece), which share their beginnings."""
         symbols = {}
-        best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         for options in [*self.lattice(span), [(" ", 0.0)]]:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            for piece, _ in options:
+                if piece not in symbols:
+                    symbols[piece] = _SYMBOL[np.frombuffer(piece.encode(), np.uint8)].tolist()
+            if len(options) * len(best) >= self.MANY and all(len(symbols[piece]) == 1 for piece, _ in options):
+                best = self._step(best, options, [symbols[piece][0] for piece, _ in options])
+                continue
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for piece, channel in options:
-                codes = symbols.get(piece)
-                if codes is None:
-                    codes = symbols[piece] = _SYMBOL[np.frombuffer(piece.encode(), np.uint8)].tolist()
-                for (a, b), (cost, text) in best.items():
+                for (a, b), (cost, path) in best.items():
                     cost += channel
-                    for c in codes:
+                    for c in symbols[piece]:
                         cost += float(self.costs[a, b, c])
                         a, b = b, c
                     if (a, b) not in step or cost < step[a, b][0]:
-                        step[a, b] = (cost, text + piece)
+                        step[a, b] = (cost, (path, piece))
             best = step
-        return min(best.values())[1].rstrip()
+        path = min(best.values(), key=lambda x: x[0])[1]
+        pieces = []
+        while path is not None:
+            path, piece = path
+            pieces.append(piece)
+        return "".join(reversed(pieces)).rstrip()
+
+    def _step(self, best: dict, options: list[tuple[str, float]], codes: list[int]) -> dict:
+        """One step where every option is a single symbol."""
+        before, after = np.array(list(best)).T
+        cost = np.array([x[0] for x in best.values()])
+        paths = [x[1] for x in best.values()]
+        total = cost[:, None] + np.array([x[1] for x in options]) + self.costs[before[:, None], after[:, None], codes]
+        step = {}
+        for b in dict.fromkeys(after.tolist()):
+            rows = np.flatnonzero(after == b)
+            least = rows[total[rows].argmin(0)]
+            for k, (c, (piece, _)) in enumerate(zip(codes, options)):
+                step[b, c] = (float(total[least[k], k]), (paths[least[k]], piece))
+        return step
 
 
 #: Lengths in bytes of the word beginnings that are features.
