@@ -2,13 +2,16 @@
 
 *Language model.* Trigrams of letters are counted over every text of the
 corpus and summed on Spark; the table is bounded by the cube of the alphabet
-(a-z, other UTF-8 bytes, and a word edge).
+(a-z, other UTF-8 bytes, and a word edge). Words are counted over every text
+too; the most frequent are known by their hash and count.
 
 *Restoration.* Spans that look disguised (letters around digits or signs, a
 letter three times or more in a row, single letters with separators between)
 become a lattice: each sign may be one of the letters it imitates, any letter
-if it is a mask, or stand for a word edge; runs may be one or two letters;
-separators vanish. Viterbi decoding over pairs of letters finds the cheapest
+if it is a mask, or stand for a word edge; runs may be one or two letters; a
+separator is nothing or, at a cost, a word edge; one that is wider than the
+span's usual one, or another, is a word edge or, at a cost, nothing. The edges
+at usual separators are placed once more by the words that they part. Viterbi decoding over pairs of letters finds the cheapest
 path under the language model and the channel's costs.
 
 *Score.* Words of the restored text (runs of letters) and their beginnings are
@@ -25,6 +28,7 @@ any label).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import drop, store
 from ._text import _BYTE, _CHUNK, _scale, mix, spans
 from .labelled import fold, sample
 
@@ -50,6 +55,10 @@ IMITATES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz", "€": "e", "#": "h",
 }
 COST_SIGN, COST_MASK, COST_KEEP, COST_RUN = 0.5, 3.0, 6.0, 0.3
+#: A word edge at a span's usual separator, nothing at a separator that is not the usual one, and a word that is spelled out by letters.
+COST_EDGE, COST_JOIN, COST_NEW = 2.0, 4.0, 5.0
+#: Most words whose counts are kept, and the longest in bytes; others are spelled out.
+WORDS, LONGEST_WORD = 1 << 17, 24
 
 _L = "a-zß-öø-ÿ"
 _S = r"0-9@$!|+*€#"
@@ -59,6 +68,9 @@ DISGUISED = re.compile(
     rf"|(?<![{_L}{_S}])[0-9@$!|+€]{{1,2}}[{_L}]{{2,}}(?![{_L}{_S}])"
     rf"|[{_L}]*([{_L}])\1{{2,}}[{_L}]*"
 )
+#: A word edge that is still to be placed by words.
+LOOSE = "\0"
+SPACED = re.compile(r"^.[ ._\-]{1,2}.[ ._\-]")
 
 
 #: Bytes that are counted at once; every count passes over the whole cube.
@@ -101,6 +113,45 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+def word_costs(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words (runs of letters) of all texts, and their negative log shares.
+
+    At most ``most``: those above the least count that leaves no more, found
+    from the numbers of words by an eighth of a doubling of the count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            names, count = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(count.astype(np.int64))], names=["word", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                for _, _, found, length in features([(x.as_py() or "").lower() for x in batch.column(0).slice(at, 1000)], beginnings=()):
+                    waiting.append(found)
+                    n += len(found)
+                    if n > _COUNTED:
+                        yield counted()
+                        waiting, n = [], 0
+        if waiting:
+            yield counted()
+
+    table, path = store(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(8 * F.log2("n")).cast("int")
+    left, least, total = most, 1 << 30, 0
+    for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        total += r.n
+        left -= r.words
+        least = r.level if left >= 0 else least
+    found = table.where(level >= least).toArrow()
+    drop(docs.sparkSession, path)
+    names, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(names)
+    return names[order], -np.log(n[order] / max(total, 1))
+
+
 class Restorer:
     """Viterbi decoding of disguised spans of any length, memoised for each worker.
 
@@ -112,8 +163,9 @@ class Restorer:
     #: Paths at a position from which on a step is taken in numpy.
     MANY = 200
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray] | None = None):
         self.costs = costs
+        self.names, self.prices = lexicon if lexicon is not None else (np.zeros(0, np.uint64), np.zeros(0))
         self.memo: dict[str, str] = {}
 
     def __call__(self, text: str) -> str:
@@ -123,32 +175,87 @@ class Restorer:
     def _span(self, match: re.Match) -> str:
         span = match[0]
         if len(span) > self.REMEMBERED:
-            return self.decode(span)
+            return self.restored(span)
         known = self.memo.get(span)
         if known is None:
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()
-            known = self.memo[span] = self.decode(span)
+            known = self.memo[span] = self.restored(span)
         return known
 
+    def restored(self, span: str) -> str:
+        """The decoded span; where its letters were spaced out, the word edges are placed after that."""
+        text = self.decode(span)
+        return " ".join(self.parted(x) for x in text.replace(LOOSE, "").split(" ")) if SPACED.search(span) else text
+
+    def parted(self, letters: str) -> str:
+        """The cheapest words that make up ``letters``: known ones, or such as are spelled out under the trigrams."""
+        data = np.frombuffer(letters.encode(), np.uint8)
+        n, parts = len(data), []
+        symbol, opens = [*_SYMBOL[data].tolist(), EDGE], [*((data & 0xC0) != 0x80).tolist(), True]
+        ends: list[tuple[float, tuple | None]] = [(0.0, None)]
+        spelled: list[tuple[float, int]] = []  # by letters since the edge, 1 or more: cost, where the word begins
+        known = self._known(data)
+        for j in range(1, n + 1):
+            c = symbol[j - 1]
+            far = [(cost + float(self.costs[symbol[j - 3], symbol[j - 2], c]), at) for cost, at in spelled[1:]]
+            if spelled:
+                far.append((spelled[0][0] + float(self.costs[EDGE, symbol[j - 2], c]), spelled[0][1]))
+            new = (ends[j - 1][0] + COST_NEW + float(self.costs[EDGE, EDGE, c]), j - 1)
+            spelled = [new, *([min(far)] if far else [])]
+            found = [(cost + float(self.costs[symbol[j - 2] if k else EDGE, c, EDGE]), at) for k, (cost, at) in enumerate(spelled)]
+            found += [(ends[i][0] + price, i) for i, price in known.get(j, ())]
+            cost, at = min(found) if opens[j] else (np.inf, 0)  # no word ends within a letter
+            ends.append((cost + COST_EDGE, (ends[at][1], at, j)))
+        path = ends[n][1]
+        while path is not None:
+            path, at, j = path
+            parts.append(bytes(data[at:j]).decode())
+        return " ".join(reversed(parts))
+
+    def _known(self, data: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """For each end the beginnings and costs of the words of the lexicon that end there."""
+        out: dict[int, list[tuple[int, float]]] = {}
+        if not len(self.names):
+            return out
+        powers, inverses = _scale(len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)])])
+        for size in range(1, min(LONGEST_WORD, len(data)) + 1):
+            found = mix((sums[size:] - sums[:-size]) * inverses[: len(data) - size + 1])
+            at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
+            for i in np.flatnonzero(self.names[at] == found).tolist():
+                out.setdefault(i + size, []).append((i, float(self.prices[at[i]])))
+        return out
+
     @staticmethod
     def lattice(span: str) -> list[list[tuple[str, float]]]:
         """For each position the texts it may stand for, with the channel's costs."""
-        if re.search(r"^.[ ._\-]{1,2}.[ ._\-]", span):
-            span = re.sub(r"[ ._\-]", "", span)
+        spaced = SPACED.search(span)
+        # each sign, and the separator before it
+        signs = re.findall(r"([ ._\-]*)([^ ._\-])", span) if spaced else [("", c) for c in span]
+        gaps = Counter(gap for gap, _ in signs[1:])
+        usual = min(gaps, key=lambda gap: (-gaps[gap], len(gap), gap), default="")
         out: list[list[tuple[str, float]]] = []
         i = 0
-        while i < len(span):
-            c = span[i]
+        while i < len(signs):
+            gap, c = signs[i]
+            if i and spaced:
+                out.append([("", 0.0), (LOOSE, COST_EDGE)] if gap == usual else [(" ", 0.0), ("", COST_JOIN)])
             run = 1
-            while i + run < len(span) and span[i + run] == c:
+            while i + run < len(signs) and signs[i + run] == (usual, c):
                 run += 1
             if c in IMITATES:
+                run = 1 if spaced else run
                 cost = COST_MASK if c == "*" else COST_SIGN
                 for _ in range(run):
                     out.append([(x, cost) for x in IMITATES[c]] + [(" ", COST_KEEP)])
             elif run > 2:
                 out.append([(c, COST_RUN), (c + c, COST_RUN)])
+                if spaced:
+                    out[-1] += [(piece, COST_RUN + COST_EDGE) for piece in (c + LOOSE + c, c + c + LOOSE + c, c + LOOSE + c + c)]
+            elif spaced:
+                run = 1
+                out.append([(c, 0.0)])
             else:
                 out.append([(c * run, 0.0)])
             i += run
@@ -201,7 +308,7 @@ class Restorer:
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def features(texts: list[str], batch_bytes: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def features(texts: list[str], batch_bytes: int = _CHUNK, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, text of each feature, feature hash, words of each text) in chunks.
 
     A feature occurs once for each word it is found in.
@@ -227,7 +334,7 @@ def features(texts: list[str], batch_bytes: int = _CHUNK) -> Iterator[tuple[int,
         powers, inverses = _scale(len(data))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)])])
         owners, hashes = [owner], [mix((sums[ends] - sums[starts]) * inverses[starts])]
-        for n in BEGINNINGS:
+        for n in beginnings:
             long = ends - starts > n
             s = starts[long]
             owners.append(owner[long])
@@ -238,12 +345,13 @@ def features(texts: list[str], batch_bytes: int = _CHUNK) -> Iterator[tuple[int,
 
 @dataclass
 class Model:
-    """Costs of the language model, and weights of the chosen features."""
+    """Costs of the language model, weights of the chosen features, and the costs of words."""
 
     costs: np.ndarray
     chosen: np.ndarray
     weights: np.ndarray
     intercept: float
+    lexicon: tuple[np.ndarray, np.ndarray] | None = None
 
     def vectors(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(first text, dense counts of the chosen features, last column log of the length)."""
@@ -266,7 +374,7 @@ class Model:
 
 def _restored(model: Model, column: pa.Array, restorer: list[Restorer]) -> list[str]:
     if not restorer:
-        restorer.append(Restorer(model.costs))
+        restorer.append(Restorer(model.costs, model.lexicon))
     return [restorer[0](x.as_py() or "") for x in column]
 
 
@@ -295,10 +403,10 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    """Count letters over all of ``docs``, and learn from a bounded sample of the labelled."""
-    costs = log_model(letter_counts(docs, text_col))
+    """Count letters and words over all of ``docs``, and learn from a bounded sample of the labelled."""
+    costs, lexicon = log_model(letter_counts(docs, text_col)), word_costs(docs, text_col)
     chosen, sizes = sample(docs, labels, label_col, per_class, folds, held_out, id_col, text_col)
-    bare = Model(costs, np.zeros(0, np.uint64), np.zeros(1), 0.0)
+    bare = Model(costs, np.zeros(0, np.uint64), np.zeros(1), 0.0, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast(bare)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +425,7 @@ def fit(
     bad, good = counted.get(1, 0), counted.get(0, 0)
     if not bad or not good:
         share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return Model(costs, np.zeros(0, np.uint64), np.zeros(1), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return Model(costs, np.zeros(0, np.uint64), np.zeros(1), float(np.log((share + 1e-9) / (1 - share + 1e-9))), lexicon)
     a, b = F.col("bad"), F.col("good")
     mean = (a + b) / (bad + good)
     ratio = a * F.log(a / (bad * mean)) + F.when(b > 0, b * F.log(b / (good * mean))).otherwise(0.0)
@@ -329,7 +437,7 @@ def fit(
         .orderBy(F.desc("ratio"), "feature").limit(kept)
     )
     names = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
-    model = Model(costs, names, np.zeros(len(names) + 1), 0.0)
+    model = Model(costs, names, np.zeros(len(names) + 1), 0.0, lexicon)
     shared2 = docs.sparkSession.sparkContext.broadcast(model)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

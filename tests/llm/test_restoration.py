@@ -1,5 +1,6 @@
 """Restoration of long and of spaced-out disguised spans."""
 
+import numpy as np
 import pytest
 
 from inkspark.llm import toxicity
@@ -25,3 +26,21 @@ def test_numpy_step_equals_plain(restore, monkeypatch):
     got = [restore.decode(x) for x in spans]
     monkeypatch.setattr(toxicity.Restorer, "MANY", 10**9)
     assert [restore.decode(x) for x in spans] == got
+
+
+def test_spaced_phrases(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    restore = toxicity.Restorer(toxicity.log_model(toxicity.letter_counts(docs)), toxicity.word_costs(docs))
+    for phrase in ("y o u s t u p i d", "y.o.u s.t.u.p.i.d", "s t u u u u p i d m o r o n", "y o u a r e a n i d i o t", "t h a t i s t r a s h a n d h e i s a l 0 s e r"):
+        words = set(restore(phrase).split())
+        assert words & {"stupid", "moron", "idiot", "trash", "loser"}, words
+    assert restore("s t u p i d  m o r o n") == restore("s.t.u.p.i.d m.o.r.o.n") == "stupid moron"
+    assert restore("s t u p i d") == "stupid" and restore("s  t  u  p  i  d") == "stupid"
+
+
+def test_word_costs(spark):
+    docs = spark.createDataFrame([("Ab ab, ab cd",), ("cd x1y",), (None,)], "text string")
+    names, costs = toxicity.word_costs(docs)
+    shares = sorted(round(float(x), 6) for x in np.exp(-costs))
+    assert shares == [0.142857, 0.142857, 0.285714, 0.428571] and list(names) == sorted(names)
+    assert len(toxicity.word_costs(docs, most=3)[0]) == 2  # x and y are equally frequent
