@@ -39,11 +39,12 @@ SYMBOL = r"[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = 4
 #: Least standard deviations of the transformed statistics, below which a spread is not believed.
-FLOORS = (0.12, 0.15, 0.15, 0.15)
+#: The last two lie a little over the spread of plain prose, most of which repeats nothing.
+FLOORS = (0.12, 0.15, 0.09, 0.09)
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the base counts of every whole text as columns named in ``STATS``.
+    """Add the base counts of every whole text as columns named in ``STATS``, and ``n_lines``, its lines with a word.
 
     Each step is a projection of its own, so that arrays are built once. The
     hash of a 3-word window shares a 64-bit integer with its position: the
@@ -57,6 +58,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOL)).cast("long"))
+        .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     )
     step = step.withColumn("_keep", F.expr("shiftleft(-1L, length(bin(n_words)))")).drop("_text", "_lines")
@@ -88,7 +90,7 @@ def _vector() -> list[Column]:
     return [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         F.sqrt(F.col("n_symbols") / n),
-        F.sqrt(F.col("n_dup_lines") / n),
+        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
         F.sqrt(F.col("n_repeat_words") / n),
     ]
 
@@ -105,10 +107,11 @@ def _distance() -> Column:
 
 
 def _factored(groups: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factors of the floored covariances c_ij times ``scale``."""
+    """Cholesky factors of the covariances c_ij times ``scale``, with variances of at least the floors."""
     for i in range(DIMS):
         for j in range(i + 1):
-            rest = scale * F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else 0)
+            rest = scale * F.col(f"c{i}{j}")
+            rest = F.greatest(rest, F.lit(FLOORS[i] ** 2)) if i == j else rest
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
@@ -166,19 +169,19 @@ def judge(
     carry: list[str] | None = None,
     min_group: int = 200,
     min_pool: int = 20,
-    cutoff: float = 28.0,
+    cutoff: float = 23.513,
 ) -> DataFrame:
     """Columns ``carry`` (all, if not given) with the base counts, ``base_failed`` and ``kept``.
 
-    ``cutoff`` is on the squared distance; 28 lies beyond the 99.998 % point of
-    chi-square with 4 degrees of freedom. Columns of ``docs`` named like a
+    ``cutoff`` is on the squared distance; 23.513 is the 99.99 % point of chi-square
+    with 4 degrees of freedom. Columns of ``docs`` named like a
     result column are replaced.
     """
     made = {*STATS, "base_failed", "kept"}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     names = {c: f"in_{i}" for i, c in enumerate(dict.fromkeys([*carry, text_col, lang_col, source_col]))}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    counted, _ = store(with_counts(rows, names[text_col]).select(*[names[c] for c in dict.fromkeys([*carry, lang_col, source_col])], *STATS), "rules")
+    counted, _ = store(with_counts(rows, names[text_col]).select(*[names[c] for c in dict.fromkeys([*carry, lang_col, source_col])], *STATS, "n_lines"), "rules")
     counted = counted.withColumn("base_failed", base_failed())
     key = [F.coalesce(F.concat(F.lit("="), F.col(names[c]).cast("string")), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]
     vectors = counted.where("not base_failed").select(*key, *[F.round(x, 9).alias(f"x{i}") for i, x in enumerate(_vector())])
