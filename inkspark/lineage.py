@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one is made only where none is named."""
+    """The checkpoint folder that the session names.
+
+    Where none is named, a local session gets one of its own; on a cluster that
+    would be a disk of the driver that executors do not see, so it is an error.
+    """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
