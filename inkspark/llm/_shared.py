@@ -8,14 +8,14 @@ its own.
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lineage import cut, shared_dir
 
-__all__ = ["cut", "drop", "release_shuffles", "scratch_path", "shared_dir", "store"]
+__all__ = ["cut", "drop", "heavy_keys", "scratch_path", "shared_dir", "store", "unique_join"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,16 +39,32 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+#: Keys that count as heavy hold at least this share of the rows, so there are at most ``1 / HEAVY`` of them.
+HEAVY = 1 / 500
 
-    The cleaner acts when the driver collects garbage, which a long run of
-    stages may not do for half an hour. The scheduler still holds the last job,
-    so a job over one row takes its place first.
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that hold at least ``HEAVY`` of the rows that have one."""
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    return sizes.join(F.broadcast(total), F.col("_n") >= F.greatest(F.col("_total") * HEAVY, F.lit(2)), "left_semi").select(key)  # one row
+
+
+def unique_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:
+    """Left join with ``right``, which has a row at most for each ``key``.
+
+    Rows whose key is heavy in ``left`` (at most 500 keys) meet a broadcast,
+    rows without a key meet nothing, and only the others are shuffled.
     """
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
+    keys = (heavy_keys(left, key) if heavy is None else heavy).withColumnRenamed(key, "_key")
+    some = right.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left_semi")
+    new = [c for c in right.columns if c != key]
+    marked = left.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left").withColumn("_heavy", F.col("_key").isNotNull()).drop("_key")
+    order = [*left.columns, *new]
+    bare = marked.where(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in new])
+    few = marked.where("_heavy").join(F.broadcast(some), key, "left").select(*order)
+    rest = marked.where(~F.col("_heavy") & F.col(key).isNotNull()).join(right, key, "left").select(*order)
+    return few.unionByName(rest).unionByName(bare)
 
 
 def _forget(spark: SparkSession, path: str) -> None:

@@ -35,6 +35,7 @@ be null or repeat, as classes are known by content.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, drop, release_shuffles, store
+from ._shared import HEAVY, drop, store, unique_join
 from ._text import Words, mix, words
 from .links import components
 
@@ -50,6 +51,12 @@ from .links import components
 EXTRA = 0.05
 #: Rounds in which every text is held against one hub, before the complete one.
 ROUNDS = 2
+#: Rows of one n-gram and size class that a task meets at once.
+BLOCK = 2000
+#: Ids of surviving classes up to which they are broadcast (eight bytes each); beyond that they are joined by shuffle.
+MAX_BROADCAST = 1_000_000
+#: Fingerprints that a task remembers, so that equal texts give their prefix once.
+SEEN = 500_000
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -86,10 +93,12 @@ def shingle_sets(docs: DataFrame, percent: int, size: int, heads: bool, id_col:
     """doc_id, class fingerprint k (null without shingles), set size n, and n-grams.
 
     ``grams`` is the extended prefix in hash order if ``heads``, else the set;
-    ``need`` is how many of a prefix some partner must share.
+    ``need`` is how many of a prefix some partner must share. With ``heads`` a
+    text whose equal the task has met before gives no n-grams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for w in words(batch.column(1), lower=True):
@@ -100,7 +109,12 @@ def shingle_sets(docs: DataFrame, percent: int, size: int, heads: bool, id_col:
                     counts.append(n)
                     partner = _least(n, percent)
                     need.append(max(1, int(EXTRA * partner)))
-                    grams.append(found[: n - partner + max(1, int(EXTRA * n))] if heads else found)
+                    if heads:
+                        grams.append(found[: 0 if keys[-1] in seen else n - partner + max(1, int(EXTRA * n))])
+                        if len(seen) < SEEN:
+                            seen.add(keys[-1])
+                    else:
+                        grams.append(found)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(w.first, w.count), pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.array(need, pa.int32()), _lists(grams)],
                     names=["doc_id", "k", "n", "need", "grams"],
@@ -169,80 +183,117 @@ def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``left`` (gram, k, n, pos) beside those of ``right`` (gram, k2, n2, pos2) that pass the filters.
+
+    An n-gram's rows are parted by the size of their sets, on a scale on which
+    sizes that may link are in the same or in neighbouring classes; a part of
+    more than ``BLOCK`` rows is dealt in blocks, each of which meets the other side.
+    """
+    scale = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    level = lambda n: F.floor(F.log(n.cast("double")) / scale)
+    left = left.withColumn("level", level(F.col("n")))
+    right = right.withColumn("level", F.explode(F.array(*[level(F.col("n2")) + d for d in (-1, 0, 1)])))
+    parts = left.groupBy("gram", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    at = F.coalesce("parts", F.lit(1))
+    left = left.join(parts, ["gram", "level"], "left").withColumn("block", F.pmod(F.xxhash64("k"), at).cast("int")).drop("parts")
+    right = right.join(parts, ["gram", "level"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), at - 1))).drop("parts")
+    return _filtered(left.join(right, ["gram", "level", "block"]), percent)
+
+
 def class_links(ordered: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """Links (a, b) between classes: all of them, or enough for the components."""
     spark = ordered.sparkSession
-    rows = cut(
+    rows, rows_path = store(
         ordered.select("k", "n", "u", F.posexplode(F.expr("slice(grams, 1, cast(n - ceil(n * %d / 100) + 1 - u as int))" % percent)))
-        .select(F.col("col").alias("gram"), "k", "n", (F.col("u") + F.col("pos")).cast("int").alias("pos"), (1000 * F.col("u") / F.col("n")).cast("int").alias("own"))
+        .select(F.col("col").alias("gram"), "k", "n", (F.col("u") + F.col("pos")).cast("int").alias("pos"), (1000 * F.col("u") / F.col("n")).cast("int").alias("own")),
+        "prefixes",
     )
     other = [F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")]
     if not spanning:
-        pairs = rows.join(rows.select("gram", *other), "gram").where("k < k2")
-        return verified(_distinct_pairs(_filtered(pairs, percent)), ordered, percent)
+        pairs = _meet(rows, rows.select("gram", *other), percent).where("k < k2")
+        return verified(_distinct_pairs(pairs), ordered, percent)
     links = tried = spark.createDataFrame([], "a long, b long")
     roots = None
     for turn in range(ROUNDS + 1):
-        active = rows.withColumn("root", F.col("k")) if roots is None else rows.join(roots, rows.k == roots.node, "left").select(*rows.columns, F.coalesce("root", "k").alias("root"))
-        mixed = active.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-        active = cut(active.join(mixed, "gram", "left_semi"))
-        partner = F.struct(*other, F.col("root").alias("root2"))
+        active, active_path = rows.withColumn("root", F.col("k")), None
+        if roots is not None:
+            active, active_path = store(unique_join(rows, roots.select(F.col("node").alias("k"), "root"), "k").withColumn("root", F.coalesce("root", "k")), "active")
         if turn < ROUNDS:
             # first the hub has the fewest n-grams of its own: of near copies, one close to what they are copies of
-            hub = active.groupBy("gram").agg(F.min_by(partner, F.struct(F.lit(0) if turn else F.col("own"), F.xxhash64("k", F.lit(turn)))).alias("h")).select("gram", "h.*")
-            met = _filtered(active.join(hub, "gram").where("root <> root2"), percent).groupBy("k", "k2").count()
+            partner = F.struct(*other, F.col("root").alias("root2"))
+            best_hub = F.min_by(partner, F.struct(F.lit(0) if turn else F.col("own"), F.xxhash64("k", F.lit(turn)))).alias("h")
+            hub = active.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), best_hub).where("lo <> hi").select("gram", "h.*")
+            met = _filtered(unique_join(active, hub, "gram").where("root <> root2"), percent).groupBy("k", "k2").count()
             met = met.withColumns({"a": F.least("k", "k2"), "b": F.greatest("k", "k2")}).join(tried, ["a", "b"], "left_anti")
             # of all hubs that a text meets, the one that it meets most often
-            best = met.groupBy("k").agg(F.max_by("k2", F.struct("count", "k2")).alias("k2"))
-            fresh = cut(_distinct_pairs(best))
+            fresh = _distinct_pairs(met.groupBy("k").agg(F.max_by("k2", F.struct("count", "k2")).alias("k2")))
         else:
             sizes = active.groupBy("gram", "root").count()
-            largest = sizes.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-            small = active.join(largest, "gram").where("root <> largest").select("gram", *other, F.col("root").alias("root2"))
-            pairs = _filtered(active.join(small, "gram").where("root <> root2"), percent)
-            fresh = cut(_distinct_pairs(pairs).join(tried, ["a", "b"], "left_anti"))
+            largest = sizes.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+            marked = unique_join(active, largest.drop("roots"), "gram").where("largest is not null")
+            small = marked.where("root <> largest").select("gram", *other, F.col("root").alias("root2"))
+            pairs = _meet(marked.drop("largest"), small, percent).where("root <> root2")
+            fresh = _distinct_pairs(pairs).join(tried, ["a", "b"], "left_anti")
+        fresh, _ = store(fresh, "candidates")
         tried = tried.unionByName(fresh)
-        links = links.unionByName(cut(verified(fresh, ordered, percent)))
+        links = links.unionByName(store(verified(fresh, ordered, percent), "found")[0])
+        if active_path:
+            drop(spark, active_path)
         if turn < ROUNDS:
             roots = components(links)
+    drop(spark, rows_path)
     return links
 
 
 def _survivors(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k, n) of every row, and the classes k that may have a partner."""
+    """(doc_id, k, n) of every row, and the classes k that may have a partner.
+
+    Of a class of equal texts a task gives one prefix only, and an n-gram
+    counts as common where texts of two classes have it.
+    """
     rows, path = store(shingle_sets(docs, percent, size, True, id_col, text_col), "heads")
-    keys = cut(rows.select("doc_id", "k", "n"))
+    keys, _ = store(rows.select("doc_id", "k", "n"), "keys")
     grams = rows.where("n > 0").select("k", "need", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("gram")
+    common = grams.groupBy("gram").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("gram")
     hits = grams.join(common, "gram", "left_semi").groupBy("k", "need").agg(F.count(F.lit(1)).alias("hits"))
-    near = cut(hits.where("hits >= need").select("k"))
+    near, _ = store(hits.where("hits >= need").select("k"), "near")
     drop(docs.sparkSession, path)
     return keys, near
 
 
-def _class_sets(docs: DataFrame, keys: DataFrame, near: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def _class_sets(docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """k, n and the whole set of each surviving class, from one of its texts; and where it is stored."""
-    chosen = cut(keys.join(near, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nameless")))
-    ids = chosen.select(F.col("id").alias("_id")).unionByName(chosen.where("nameless").select(F.lit(None).cast("long").alias("_id"))).distinct()
-    repeated = keys.join(ids, keys.doc_id.eqNullSafe(ids._id), "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    chosen = classes.join(near, "k", "left_semi").select(F.col("least").alias("_id"), "k")
+    ids = chosen.select("_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = shingle_sets(texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi"), percent, size, heads=False).where("n > 0").select("k", "n", "grams")
-    return store(sets.dropDuplicates(["k"]) if repeated else sets, "sets")
+    few = ids.count() <= MAX_BROADCAST
+    mine = texts.join(F.broadcast(ids) if few else ids, texts.doc_id.eqNullSafe(ids._id), "left_semi")
+    sets, path = store(shingle_sets(mine, percent, size, heads=False).where("n > 0").select("k", "n", "grams"), "sets")
+    # where an id stands for several texts, some are of other classes or come twice
+    if sets.groupBy("k").count().where("count > 1").limit(1).count():
+        again, again_path = store(sets.join(near, "k", "left_semi").dropDuplicates(["k"]), "sets")
+        drop(docs.sparkSession, path)
+        return again, again_path
+    return sets, path
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     spark = docs.sparkSession
     keys, near = _survivors(docs, percent, size, id_col, text_col)
-    release_shuffles(spark)
-    sets, sets_path = _class_sets(docs, keys, near, percent, size, id_col, text_col)
-    release_shuffles(spark)
+    # a row for each class: its smallest id (null where it has none) and its rows
+    classes, _ = store(keys.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
+    sets, sets_path = _class_sets(docs, classes, near, percent, size, id_col, text_col)
     ordered, ordered_path = store(_ordered(sets, percent), "ordered")
     drop(spark, sets_path)
-    release_shuffles(spark)
     roots = components(class_links(ordered, percent, spanning=True))
     drop(spark, ordered_path)
-    release_shuffles(spark)
-    rooted = keys.join(roots, keys.k == roots.node, "left").select("doc_id", "k", "n", F.coalesce("root", "k").alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    linked, _ = store(roots.join(classes, roots.node == classes.k).select("k", "root", "least", "rows"), "linked")
+    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
+    of_linked = unique_join(linked, lowest, "root").select("k", F.col("lowest").alias("component"))
+    of_copies = classes.where("rows > 1").join(linked.select("k"), "k", "left_anti").select("k", F.col("least").alias("component"))
+    total = keys.count()
+    heavy = classes.where(F.col("rows") >= max(2, total * HEAVY)).select("k")
+    found = unique_join(keys, of_linked.unionByName(of_copies), "k", heavy)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

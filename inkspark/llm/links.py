@@ -1,11 +1,16 @@
-"""Connected components of a link table, by minimum labels and pointer jumping."""
+"""Connected components of a link table, by minimum labels and pointer jumping.
+
+Defined results: an empty table has no nodes; a link with a null end or from a
+node to itself is no link; repeated links and links in both directions count
+once; other columns are not read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import drop, store, unique_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,17 +18,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every node takes the smallest label around it and then its
     label's label; rounds grow with the logarithm of a component's diameter on
-    usual graphs. Labels are cut from their lineage each round. Hot nodes only
-    meet pre-aggregated minima and joins that adaptive execution can split.
+    usual graphs. Labels are written each round and the round before is
+    deleted. A label that much of the table holds meets a broadcast.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+    spark = links.sparkSession
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both, both_path = store(ends.where("a <> b").distinct(), "links")
+    labels, path = store(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")), "labels")
     while True:
         around = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("around"))
         lower = labels.join(around, labels.node == around.a).select("node", "root", F.least("root", "around").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
-        moved = cut(lower.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("beyond", "to")).alias("next")))
+        moved, next_path = store(unique_join(lower, jump, "to").select("node", "root", F.least("to", F.coalesce("beyond", "to")).alias("next")), "labels")
         still = moved.where("root <> next").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("root"))
+        drop(spark, path)
+        labels, path = moved.select("node", F.col("next").alias("root")), next_path
         if not still:
+            drop(spark, both_path)
             return labels
