@@ -46,8 +46,8 @@ HEAVY = 1 / 500
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
     """The values of ``key`` that hold at least ``HEAVY`` of the rows that have one."""
     sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    return sizes.join(F.broadcast(total), F.col("_n") >= F.greatest(F.col("_total") * HEAVY, F.lit(2)), "left_semi").select(key)  # one row
+    total = sizes.select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return sizes.where(F.col("_n") >= F.greatest(total * HEAVY, F.lit(2))).select(key)
 
 
 def unique_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:

@@ -194,7 +194,8 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     level = lambda n: F.floor(F.log(n.cast("double")) / scale)
     left = left.withColumn("level", level(F.col("n")))
     right = right.withColumn("level", F.explode(F.array(*[level(F.col("n2")) + d for d in (-1, 0, 1)])))
-    parts = left.groupBy("gram", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts, _ = store(left.groupBy("gram", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "parts")
+    parts = F.broadcast(parts) if parts.count() <= MAX_BROADCAST else parts
     at = F.coalesce("parts", F.lit(1))
     left = left.join(parts, ["gram", "level"], "left").withColumn("block", F.pmod(F.xxhash64("k"), at).cast("int")).drop("parts")
     right = right.join(parts, ["gram", "level"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), at - 1))).drop("parts")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, store, unique_join
+from ._shared import drop, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node takes the smallest label around it and then its
     label's label; rounds grow with the logarithm of a component's diameter on
     usual graphs. Labels are written each round and the round before is
-    deleted. A label that much of the table holds meets a broadcast.
+    deleted. A label that many nodes have is one long partition of two longs a
+    node, which adaptive execution splits.
     """
     spark = links.sparkSession
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         around = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("around"))
         lower = labels.join(around, labels.node == around.a).select("node", "root", F.least("root", "around").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
-        moved, next_path = store(unique_join(lower, jump, "to").select("node", "root", F.least("to", F.coalesce("beyond", "to")).alias("next")), "labels")
+        moved, next_path = store(lower.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("beyond", "to")).alias("next")), "labels")
         still = moved.where("root <> next").limit(1).count()
         drop(spark, path)
         labels, path = moved.select("node", F.col("next").alias("root")), next_path

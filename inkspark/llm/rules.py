@@ -11,17 +11,25 @@ Base counts per text (null: no words), over words ``[^\\x20\\x09-\\x0D]+``:
 ``base_failed``: under 50 words, or over half of the words repeat.
 
 Verdict on the others: the counts become a vector of four transformed
-statistics; for each language and source the minimum-covariance-determinant
-estimate of mean and covariance is found by concentration steps, and a vector
-whose squared Mahalanobis distance exceeds ``cutoff`` is rejected. A floor on
-each variance keeps the covariance regular where a statistic is nearly
-constant. A language and source with fewer than ``min_group`` vectors uses its
-language's estimate, and one with too few there uses the whole corpus's; null
-language or source is a value of its own. Where even the corpus has fewer than
-``min_group`` vectors, the verdict is to keep.
-
-All expressions are DataFrame functions. The estimates stay in a table with a
-row for each language and source; nothing is collected.
+statistics; for each language and source a minimum-covariance-determinant
+estimate of mean and covariance is found, and a vector whose squared
+Mahalanobis distance exceeds ``cutoff`` is rejected. Concentration steps begin
+at ``STARTS`` and go on until no determinant falls any more; of the starts of a
+pool the one with the least determinant counts. A pool of n vectors is drawn
+towards its parent (a source to its language, a language to the corpus) as by
+``prior`` further vectors there, so a small one is judged mostly as its parent
+and a large one by itself. Variances have least values, which keeps the
+covariance regular where a statistic is nearly constant.
+
+Defined results: a null or empty text has no words and fails the base rules; a
+null language or source is a value of its own; equal rows get equal verdicts;
+an empty table gives an empty result, and where nothing passes the base rules
+nothing is estimated; a very long text is counted whole, with memory in
+proportion to it; columns of the input that clash with a result column are
+replaced, others are carried whatever their names.
+
+All expressions are DataFrame functions. The estimates stay in a table with
+rows for each language and source; the driver sees one number for each step.
 """
 
 from __future__ import annotations
@@ -49,7 +57,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Each step is a projection of its own, so that arrays are built once. The
     hash of a 3-word window shares a 64-bit integer with its position: the
     position takes as many low bits as the document needs, the hash the rest,
-    and one primitive sort brings equal windows together.
+    and one primitive sort brings equal windows together. The windows that so
+    have an equal are then compared by their words, so a hash decides nothing.
     """
     step = (
         docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
@@ -69,13 +78,20 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).bitwiseAND(F.col("_keep")).bitwiseOR(i.cast("long")),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("_sorted", F.sort_array(window)).drop("_words")
+    step = step.withColumn("_sorted", F.sort_array(window))
 
     def same(x: Column, at: Column) -> Column:
         return F.coalesce(x.bitwiseXOR(F.get("_sorted", at)).bitwiseAND(F.col("_keep")) == 0, F.lit(False))
 
-    again = F.filter("_sorted", lambda x, i: same(x, i + 1) | same(x, i - 1))
-    step = step.withColumn("_again", F.transform(again, lambda x: x.bitwiseAND(F.bitwise_not(F.col("_keep"))))).drop("_sorted", "_keep")
+    hit = F.filter("_sorted", lambda x, i: same(x, i + 1) | same(x, i - 1))
+    step = step.withColumn("_hit", F.transform(hit, lambda x: x.bitwiseAND(F.bitwise_not(F.col("_keep"))).cast("int"))).drop("_sorted", "_keep")
+    words_at = lambda p: F.concat_ws(" ", F.get("_words", p), F.get("_words", p + 1), F.get("_words", p + 2))
+    step = step.withColumn("_hit", F.array_sort(F.transform("_hit", lambda p: F.struct(words_at(p).alias("w"), p.alias("p"))))).drop("_words")
+
+    def equal(x: Column, at: Column) -> Column:
+        return F.coalesce(F.get("_hit", at)["w"] == x["w"], F.lit(False))
+
+    step = step.withColumn("_again", F.transform(F.filter("_hit", lambda x, i: equal(x, i + 1) | equal(x, i - 1)), lambda x: x["p"])).drop("_hit")
     covered = F.array_union(F.array_union("_again", F.transform("_again", lambda p: p + 1)), F.transform("_again", lambda p: p + 2))
     return step.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("_again")
 
@@ -106,59 +122,89 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in y))
 
 
-def _factored(groups: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factors of the covariances c_ij times ``scale``, with variances of at least the floors."""
+def _floored() -> dict[str, Column]:
+    """Covariances whose variances are at least the floors."""
+    return {f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(DIMS)}
+
+
+def _factored(groups: DataFrame) -> DataFrame:
+    """Add the Cholesky factors l_ij of the floored covariances c_ij, and the determinant's logarithm."""
+    groups = groups.withColumns(_floored())
     for i in range(DIMS):
         for j in range(i + 1):
-            rest = scale * F.col(f"c{i}{j}")
-            rest = F.greatest(rest, F.lit(FLOORS[i] ** 2)) if i == j else rest
+            rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.drop(*[f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    return groups.withColumn("logdet", 2 * reduce(lambda a, b: a + b, (F.log(f"l{i}{i}") for i in range(DIMS))))
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+MEANS = [f"m{i}" for i in range(DIMS)]
+COVARIANCES = [f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:
     return rows.groupBy(*by).agg(
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)],
-        *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)],
+        *[(scale * F.covar_pop(f"x{i}", f"x{j}")).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)],
     )
 
 
-#: Pools up to which their estimates (18 doubles each) are broadcast.
+#: Pools up to which their estimates (a few hundred bytes each) are broadcast.
 MAX_BROADCAST = 20_000
 #: Consistency factor of the 75 % subset of a 4-variate normal: 0.75 / F_6(q), q the 75 % point of chi-square with 4 degrees of freedom.
 CONSISTENCY = 1.5145
+#: Where concentration begins: medians and median deviations; all vectors' moments; medians, and deviations as large as the floors.
+STARTS = ("spread", "all", "middle")
+#: Least fall of a log determinant that counts as one, and most steps.
+FALL, STEPS = 1e-3, 12
 
 
 def _joined(rows: DataFrame, table: DataFrame, groups: int) -> DataFrame:
-    """Attach per-pool values: broadcast up to a checked number of pools, else a shuffled join."""
-    return rows.join(F.broadcast(table) if groups <= MAX_BROADCAST else table, "pool")
+    """Attach per-pool values: broadcast up to a checked number of pools, else a shuffled join that adaptive execution splits."""
+    on = [c for c in ("pool", "start") if c in rows.columns and c in table.columns]
+    return rows.join(F.broadcast(table) if groups <= MAX_BROADCAST else table, on)
 
 
-def mcd(vectors: DataFrame, groups: int, steps: int = 3, share: float = 0.75) -> DataFrame:
-    """Minimum-covariance-determinant estimates for each value of ``pool``.
+def mcd(vectors: DataFrame, groups: int, share: float = 0.75) -> DataFrame:
+    """Minimum-covariance-determinant estimates (m_i, c_ij) for each value of ``pool``, one row each.
 
-    Starts from medians and median deviations, then repeats concentration
-    steps: the ``share`` of vectors nearest to the estimate give the next one.
-    Quantiles are mergeable summaries (relative rank error 1/10000).
+    In a concentration step the ``share`` of vectors nearest to an estimate
+    give the next one. Quantiles are mergeable summaries (relative rank error
+    1/10000).
     """
     middle = vectors.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIMS)])
     spread = (
         _joined(vectors, middle, groups)
         .groupBy("pool")
         .agg(
-            *[F.max(f"m{i}").alias(f"m{i}") for i in range(DIMS)],
+            *[F.max(m).alias(m) for m in MEANS],
             *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5), F.lit(2)).alias(f"c{i}{i}") for i in range(DIMS)],
         )
+        .withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIMS) for j in range(i)})
     )
-    spread = spread.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(DIMS) for j in range(i)})
-    estimate = cut(_factored(spread, 1.0))
-    for _ in range(steps):
-        near = _joined(vectors, estimate, groups).withColumn("d2", _distance()).select(*vectors.columns, "d2")
-        edge = near.groupBy("pool").agg(F.percentile_approx("d2", share).alias("edge"))
-        estimate = cut(_factored(_moments(_joined(near, edge, groups).where("d2 <= edge"), ["pool"]), CONSISTENCY))
-    return estimate
+    least = spread.withColumns({f"c{i}{i}": F.lit(0.0) for i in range(DIMS)})
+    starts = [f.select("pool", F.lit(name).alias("start"), *MEANS, *COVARIANCES) for name, f in zip(STARTS, (spread, _moments(vectors, ["pool"]), least))]
+    estimate = cut(_factored(reduce(DataFrame.unionByName, starts)))
+    known = [f"x{i}" for i in range(DIMS)]
+    for step in range(STEPS):
+        near = _joined(vectors, estimate.drop("logdet"), groups).withColumn("d2", _distance()).select("pool", "start", *known, "d2")
+        edge = near.groupBy("pool", "start").agg(F.percentile_approx("d2", share).alias("edge"))
+        new = cut(_factored(_moments(_joined(near, edge, groups).where("d2 <= edge"), ["pool", "start"], CONSISTENCY)))
+        fell = new.select("pool", "start", F.col("logdet").alias("now")).join(estimate.select("pool", "start", "logdet"), ["pool", "start"]).agg(F.max(F.col("logdet") - F.col("now"))).first()[0]
+        estimate = new
+        if step and (fell is None or fell < FALL):  # the first step leaves the starts, whose determinants mean nothing
+            break
+    best = estimate.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *COVARIANCES), F.struct(F.round("logdet", 6), "start")).alias("e"))
+    return best.select("pool", "e.*")
+
+
+def _drawn(own: DataFrame, parent: DataFrame, up: Column, prior: float) -> DataFrame:
+    """Estimates of ``own`` drawn towards those of ``parent`` (whose ``lang`` is ``up``) as by ``prior`` vectors there."""
+    far = parent.select(F.col("lang").alias("_up"), *[F.col(c).alias(f"p_{c}") for c in (*MEANS, *COVARIANCES)])
+    both = own.withColumn("_up", up).join(far, "_up")
+    share = F.col("size") / (F.col("size") + prior)
+    return both.select("lang", "source", "size", *[(share * F.col(c) + (1 - share) * F.col(f"p_{c}")).alias(c) for c in (*MEANS, *COVARIANCES)])
 
 
 def judge(
@@ -167,8 +213,7 @@ def judge(
     lang_col: str = "lang",
     source_col: str = "source",
     carry: list[str] | None = None,
-    min_group: int = 200,
-    min_pool: int = 20,
+    prior: float = 100.0,
     cutoff: float = 23.513,
 ) -> DataFrame:
     """Columns ``carry`` (all, if not given) with the base counts, ``base_failed`` and ``kept``.
@@ -184,23 +229,16 @@ def judge(
     counted, _ = store(with_counts(rows, names[text_col]).select(*[names[c] for c in dict.fromkeys([*carry, lang_col, source_col])], *STATS, "n_lines"), "rules")
     counted = counted.withColumn("base_failed", base_failed())
     key = [F.coalesce(F.concat(F.lit("="), F.col(names[c]).cast("string")), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]
-    vectors = counted.where("not base_failed").select(*key, *[F.round(x, 9).alias(f"x{i}") for i, x in enumerate(_vector())])
-    # Pools: language and source; small ones by language; what is small there, over the corpus.
-    size = vectors.groupBy("lang", "source").count()
-    size = size.withColumn("own", F.col("count") >= min_group)
-    rest = size.where("not own").groupBy("lang").agg(F.sum("count").alias("rest"))
-    pools = cut(
-        size.join(rest, "lang", "left").select(
-            "lang", "source", "count",
-            F.when(F.col("own"), F.struct("lang", "source")).when(F.col("rest") >= min_group, F.struct("lang", F.lit("*").alias("source"))).otherwise(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source"))).alias("pool"),
-        )
-    )
-    groups = pools.count()
-    side = F.broadcast(pools) if groups <= MAX_BROADCAST else pools
-    vectors = cut(vectors.join(side.select("lang", "source", "pool"), ["lang", "source"]).drop("lang", "source"))
-    known = pools.groupBy("pool").agg(F.sum("count").alias("pool_size"))
-    estimate = mcd(vectors, groups).join(known, "pool").where(F.col("pool_size") >= min_pool)
-    table = pools.select("lang", "source", "pool").join(estimate, "pool").drop("pool", "pool_size")
+    each = counted.where("not base_failed").select(*key, *[F.round(x, 9).alias(f"x{i}") for i, x in enumerate(_vector())])
+    # Every vector is in three pools: its language and source, its language, the corpus.
+    pools = F.array(F.struct("lang", "source"), F.struct("lang", F.lit("*").alias("source")), F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")))
+    vectors = cut(each.select(F.explode(pools).alias("pool"), *[f"x{i}" for i in range(DIMS)]))
+    sizes = cut(vectors.groupBy("pool").agg(F.count(F.lit(1)).alias("size")))
+    groups = sizes.count()
+    found = mcd(vectors, groups).join(sizes, "pool").select("pool.lang", "pool.source", "size", *MEANS, *COVARIANCES)
+    found = cut(found)
+    langs = _drawn(found.where("lang <> '*' and source = '*'"), found.where("lang = '*'"), F.lit("*"), prior)
+    table = _factored(_drawn(found.where("source <> '*'"), langs, F.col("lang"), prior)).drop(*COVARIANCES, "size", "logdet")
     table = F.broadcast(table) if groups <= MAX_BROADCAST else table
     judged = counted.select("*", *key, *[F.round(x, 9).alias(f"x{i}") for i, x in enumerate(_vector())]).join(table, ["lang", "source"], "left")
     kept = ~F.col("base_failed") & F.coalesce(_distance() <= cutoff, F.lit(True))
