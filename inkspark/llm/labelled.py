@@ -1,4 +1,9 @@
-"""Bounded samples of labelled rows, and folds by document id."""
+"""Bounded samples of labelled rows, and folds by document id.
+
+Defined results: labels other than 0 and 1 and those without an id are not
+used; empty tables give empty samples; a null id is in no fold; texts are
+taken whole, null ones included.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,8 @@ from ._shared import store
 
 
 def fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:

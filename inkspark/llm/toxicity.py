@@ -22,7 +22,10 @@ logistic regression in numpy weighs them.
 The sample is bounded by ``per_class`` rows of each class. Defined results:
 null and empty texts have no features and get the score of the intercept;
 without labels of both classes every score is the share of label 1 (0 without
-any label).
+any label); a null doc_id is never held out; equal texts get equal scores; an
+empty table gives an empty result; a very long text is restored and scored
+whole, in time linear in its length; columns of the input that are named like
+a result are replaced, others are carried.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ DISGUISED = re.compile(
     rf"(?<![{_L}{_S}])(?:[{_L}{_S}][ ._\-]{{1,2}}){{3,}}[{_L}{_S}](?![{_L}{_S}])"
     rf"|(?<![{_L}{_S}])[{_S}]{{0,3}}[{_L}]+(?:[{_S}]{{1,3}}[{_L}]+)+"
     rf"|(?<![{_L}{_S}])[0-9@$!|+€]{{1,2}}[{_L}]{{2,}}(?![{_L}{_S}])"
-    rf"|[{_L}]*([{_L}])\1{{2,}}[{_L}]*"
+    rf"|(?<![{_L}])[{_L}]*([{_L}])\1{{2,}}[{_L}]*"
 )
 #: A word edge that is still to be placed by words.
 LOOSE = "\0"

@@ -83,11 +83,13 @@ def neighbours(rows, k=10):
     return out
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("how", [{"per_list": 40, "probes": 24, "least": 12}, {"max_lists": 8, "split_at": 300}])
+def test_nearest(spark, how):
+    """Pruned lists at one level, and lists that are split again."""
     frame = spark.read.parquet(f"{DATA}/embeddings.parquet")
     want = neighbours([(r.vec_id, r.embedding) for r in frame.collect()])
     got = defaultdict(list)
-    for r in ann.nearest(frame, F.col("vec_id") % 100 == 0, per_list=40, probes=24, least=12).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(frame, F.col("vec_id") % 100 == 0, **how).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hit = np.mean([len({v for v, _ in got[q]} & {v for v, _ in w}) / len(w) for q, w in want.items()])
     assert hit >= 0.9 and all([s for _, s in v] == sorted(s for _, s in v) for v in got.values())

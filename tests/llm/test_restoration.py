@@ -1,5 +1,8 @@
 """Restoration of long and of spaced-out disguised spans."""
 
+import itertools
+import time
+
 import numpy as np
 import pytest
 
@@ -44,3 +47,30 @@ def test_word_costs(spark):
     shares = sorted(round(float(x), 6) for x in np.exp(-costs))
     assert shares == [0.142857, 0.142857, 0.285714, 0.428571] and list(names) == sorted(names)
     assert len(toxicity.word_costs(docs, most=3)[0]) == 2  # x and y are equally frequent
+
+
+def test_long_runs_are_linear(restore):
+    """Letters without a break, with and without a run; spans of many kinds in one text."""
+    began = time.perf_counter()
+    assert restore("ab" * 100_000) == "ab" * 100_000
+    assert restore("abc" * 50_000 + "uuuu") != ""
+    assert restore("a b " * 1_000 + "1 " * 1_000) != ""
+    assert time.perf_counter() - began < 60
+
+
+def test_viterbi_equals_all_paths(restore):
+    """The decoded text of short spans is the cheapest of all that the lattice allows."""
+
+    def cost(pieces):
+        a = b = toxicity.EDGE
+        total = sum(c for _, c in pieces)
+        for ch in "".join(p for p, _ in pieces).encode():
+            s = int(toxicity._SYMBOL[ch])
+            total += float(restore.costs[a, b, s])
+            a, b = b, s
+        return total
+
+    for span in ("1d10t", "l0s3r", "$cum", "tr@sh", "stuuupid", "s t u p", "m.0.r.0.n", "a1!b", "x*y"):
+        paths = itertools.product(*restore.lattice(span), [(" ", 0.0)])
+        best = min(paths, key=cost)
+        assert cost(best) == pytest.approx(min(cost(p) for p in itertools.product(*restore.lattice(span), [(" ", 0.0)]) if "".join(x for x, _ in p).rstrip() == restore.decode(span)), abs=1e-4)
