@@ -78,25 +78,72 @@ def relocate(log: DataFrame, old: str, new: str) -> DataFrame:
     return log.withColumn("path", F.when(F.col("path") == old, new).otherwise(F.col("path")))
 
 
+def _rows_of_bits(a: list[int], masks: dict[int, int], full: int, row: int) -> list[int]:
+    """Bit rows of longest common tails: from ``row`` on, one more line of ``a`` (last first) to each.
+
+    Bit j of a row is set where the j-th line of the other text, counted from
+    its end, makes the longest common tail no longer. All columns of a row are
+    found at once by the carries of one addition.
+    """
+    out = [row]
+    for line in a:
+        hit = row & masks.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+        out.append(row)
+    return out
+
+
 def diff_rows(before: str | None, after: str | None) -> list[tuple[int, str, str]]:
-    """Smallest line diff as (pos, kind, text); deletions come before additions."""
+    """Smallest line diff as (pos, kind, text); of equally small ones the one that keeps, then deletes, earliest.
+
+    Common ends are set aside. Of the rest every so many rows of bits are
+    held and those between are made again when they are needed, so memory grows
+    with the lines times the square root of their number, in bits.
+    """
     a, b = (before or "").split("\n"), (after or "").split("\n")
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(("same", a[i]))
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    number: dict[str, int] = {}
+    left, right = ([number.setdefault(s, len(number)) for s in z] for z in (x, y))
+    n, m = len(left), len(right)
+    masks: dict[int, int] = {}
+    for j, line in enumerate(reversed(right)):
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << m) - 1
+    turned, block = left[::-1], max(1, int(n**0.5))
+    marks, row = [full], full
+    for at in range(0, n, block):
+        row = _rows_of_bits(turned[at : at + block], masks, full, row)[-1]
+        marks.append(row)
+    held: tuple[int, list[int]] = (-1, [])
+
+    def common(i: int, j: int) -> int:
+        """Lines that the rests of both texts from i and j on have in common."""
+        nonlocal held
+        k = (n - i) // block
+        if held[0] != k:
+            held = k, _rows_of_bits(turned[k * block : (k + 1) * block], masks, full, marks[k])
+        bits = held[1][n - i - k * block] & ((1 << m - j) - 1)
+        return m - j - bits.bit_count()
+
+    rows, i, j = [("same", s) for s in a[:head]], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and left[i] == right[j]:
+            rows.append(("same", x[i]))
             i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("del", a[i]))
+        elif i < n and (j == m or common(i + 1, j) == common(i, j)):
+            rows.append(("del", x[i]))
             i += 1
         else:
-            out.append(("add", b[j]))
+            rows.append(("add", y[j]))
             j += 1
-    return [(n, *row) for n, row in enumerate(out)]
+    rows += [("same", s) for s in a[len(a) - tail :]] if tail else []
+    return [(at, *r) for at, r in enumerate(rows)]
 
 
 @udtf(returnType="pos int, kind string, text string")

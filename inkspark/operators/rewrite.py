@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.names import clean_folder, folder, slug, stem
+from ..lineage import cut
 
 
 def upsert(notes: DataFrame, changes: DataFrame) -> DataFrame:
@@ -26,30 +27,37 @@ def open_or_create(notes: DataFrame, wanted: DataFrame) -> DataFrame:
 def free_paths(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     """pos, path: a free path for each (pos, folder, title), suffixed `` 2``, `` 3`` where taken.
 
-    All names that could meet are folded in order within one (folder, root)
-    group; the root is the slug without a trailing number, so ``X`` and
-    ``X 2`` come together.
+    All names that could meet are folded in order, those of one folder and root
+    after each other; the root is the slug without trailing numbers, so ``X``
+    and ``X 2`` come together. Only the names of one root are held.
     """
-    root = F.regexp_replace("stem", r" \d+$", "")
+    root = F.regexp_replace("stem", r"( \d+)+$", "")
     asked = wanted.select("pos", clean_folder("folder").alias("folder"), slug("title").alias("stem")).withColumn("root", root).withColumn("taken", F.lit(False))
     there = notes.select(F.lit(-1).cast("long").alias("pos"), folder("path").alias("folder"), stem("path").alias("stem")).withColumn("root", root).withColumn("taken", F.lit(True))
     there = there.join(asked.select("folder", "root").distinct(), ["folder", "root"], "left_semi").select(asked.columns)
 
-    def fold(rows):
+    def fold(batches):
         import pandas as pd
 
-        rows = rows.sort_values(["taken", "pos"], ascending=[False, True])
-        used, out = set(rows.stem[rows.taken]), []
-        for r in rows[~rows.taken].itertuples():
-            name, n = r.stem, 2
-            while name in used:
-                name, n = f"{r.stem} {n}", n + 1
-            used.add(name)
-            out.append((r.pos, f"{r.folder}/{name}.md" if r.folder else f"{name}.md"))
-        return pd.DataFrame(out, columns=["pos", "path"])
+        at, used, last = None, set(), {}
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if (r.folder, r.root) != at:
+                    at, used, last = (r.folder, r.root), set(), {}
+                name = r.stem
+                if not r.taken:
+                    n = last.get(r.stem, 2)
+                    while name in used:
+                        name, n = f"{r.stem} {n}", n + 1
+                    last[r.stem] = n
+                    out.append((r.pos, f"{r.folder}/{name}.md" if r.folder else f"{name}.md"))
+                used.add(name)
+            yield pd.DataFrame(out, columns=["pos", "path"])
 
     both = asked.unionByName(there).select("pos", "folder", "stem", "root", "taken")
-    return both.groupBy("folder", "root").applyInPandas(fold, "pos long, path string")
+    dealt = both.repartition("folder", "root").sortWithinPartitions("folder", "root", F.desc("taken"), "pos", "stem")
+    return dealt.mapInPandas(fold, "pos long, path string")
 
 
 def rename(notes: DataFrame, path: str, new_title: str) -> DataFrame:
@@ -57,7 +65,8 @@ def rename(notes: DataFrame, path: str, new_title: str) -> DataFrame:
     old = path.rsplit("/", 1)[-1].removesuffix(".md")
     new = "".join("-" if ch in '/\\:*?"<>|' else ch for ch in new_title.strip()).strip() or "Untitled"
     prefix = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
-    text = md.retarget("content", old, new)
+    # links are read without regard to case, so a change of case alone leaves them as they are
+    text = F.col("content") if old.lower() == new.lower() else md.retarget("content", old, new)
     moved = F.when(F.col("path") == path, F.lit(f"{prefix}{new}.md")).otherwise(F.col("path"))
     return notes.select(moved.alias("path"), text.alias("content"), (text != F.col("content")).alias("changed"))
 
@@ -107,28 +116,49 @@ def replace_text(notes: DataFrame, find: str, replacement: str) -> DataFrame:
 
 
 def replace_all(notes: DataFrame, find: str, replacement: str, rename_notes: bool) -> DataFrame:
-    """path, content after renames with link repair, then replacement in all texts.
+    """was, path, content after renames with link repair, then replacement in all texts.
 
-    Every renamed note's links are repaired by a lookup of each link's target,
-    so the work is one join and not one pass for each rename.
+    A renamed note takes a free path in the order of paths, numbered where a
+    note that stays, or one renamed before it, has the name; no note is lost.
+    Links are repaired by a lookup of each link's target, so the work is one
+    join and not one pass for each rename.
     """
-    if not find:
-        return notes
-    if rename_notes:
-        names = rename_preview(notes, find, replacement).select("path", F.lower("old").alias("key"), slug("new").alias("new"))
-        first = names.groupBy("key").agg(F.min_by("new", "path").alias("new"))
+    rows = notes.select(F.col("path").alias("was"), "path", "content")
+    if find and rename_notes:
+        named = rename_preview(notes, find, replacement)
+        wanted = named.select("path", folder("path").alias("folder"), F.col("new").alias("title"))
+        # places in the order of paths, from counts below each partition's rows
+        wanted = numbered(wanted, "path")
+        stay = notes.join(named.select("path"), "path", "left_anti")
+        moved = wanted.select("pos", F.col("path").alias("was")).join(free_paths(stay, wanted), "pos").select("was", F.col("path").alias("to"))
+        targets = moved.select(F.lower(stem("was")).alias("key"), "was", stem("to").alias("new")).where(F.col("key") != F.lower("new"))
+        first = targets.groupBy("key").agg(F.min_by("new", "was").alias("new"))
         links = notes.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\[\[([^\[\]|#^]+)"), F.lit(1)))).alias("raw"))
         swaps = links.withColumn("key", F.lower(F.trim("raw"))).join(first, "key").groupBy("path").agg(F.collect_list(F.struct("raw", "new")).alias("swaps"))
-        kept = notes.join(swaps, "path", "left").join(names.select("path", F.col("new").alias("own")), "path", "left")
-        fixed = F.aggregate(
-            F.coalesce("swaps", F.array().cast("array<struct<raw:string,new:string>>")),
-            F.col("content"),
-            lambda text, s: F.replace(F.replace(F.replace(text, F.concat(F.lit("[["), s["raw"], F.lit("]]")), F.concat(F.lit("[["), s["new"], F.lit("]]"))), F.concat(F.lit("[["), s["raw"], F.lit("|")), F.concat(F.lit("[["), s["new"], F.lit("|"))), F.concat(F.lit("[["), s["raw"], F.lit("#")), F.concat(F.lit("[["), s["new"], F.lit("#"))),
-        )
-        prefix = F.when(folder("path") == "", "").otherwise(F.concat(folder("path"), F.lit("/")))
-        moved = F.when(F.col("own").isNotNull(), F.concat(prefix, F.col("own"), F.lit(".md"))).otherwise(F.col("path"))
-        notes = kept.select(moved.alias("path"), fixed.alias("content"))
-    return replace_text(notes, find, replacement)
+
+        def repaired(text, s):
+            for end in ("]]", "|", "#", "^"):
+                text = F.replace(text, F.concat(F.lit("[["), s["raw"], F.lit(end)), F.concat(F.lit("[[\0"), s["new"], F.lit(end)))
+            return text
+
+        # a repaired target is marked, so that no other rename takes hold of it
+        fixed = F.replace(F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<raw:string,new:string>>")), F.col("content"), repaired), F.lit("[[\0"), F.lit("[["))
+        rows = notes.join(swaps, "path", "left").join(moved.withColumnRenamed("was", "path"), "path", "left")
+        rows = rows.select(F.col("path").alias("was"), F.coalesce("to", "path").alias("path"), fixed.alias("content"))
+    return replace_text(rows, find, replacement)
+
+
+def numbered(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """``rows`` with gapless numbers from 0 in the order of a column; no task sees more than its range.
+
+    The ranges' sizes are summed over their numbers, of which there are as many
+    as tasks.
+    """
+    dealt = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.withColumn("_within", within).join(F.broadcast(below), "_part").withColumn(name, (F.col("_below") + F.col("_within")).cast("long")).drop("_part", "_within", "_below")
 
 
 def unique_stems(titles: DataFrame) -> DataFrame:

@@ -138,19 +138,18 @@ def chat_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select("path", F.lit("conv").alias("kind"), md.is_ai("content").alias("ai")).join(turns, "path")
 
 
-@query(f"WITH {B} SELECT path, content || chr(10) || 'more' || chr(10) AS content FROM b WHERE doc_id < 50")
+@query(f"""WITH {B} SELECT path, regexp_replace(content, '\\s+$', '') || chr(10) || chr(10) || 'more' || chr(10) AS content FROM b""")
 def append_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends to notes whose last line end gives way to a blank line."""
-    notes = derived.notes(spark, sf_dir).where(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") < 50)
-    return notes.select("path", nm.appended("content", F.lit("  more ")).alias("content"))
+    return derived.notes(spark, sf_dir).select("path", nm.appended("content", F.lit("  more ")).alias("content"))
 
 
-@query(f"""WITH {B} SELECT path, false AS created FROM b WHERE doc_id < 20
-UNION ALL SELECT 'new/Note ' || doc_id || '.md', true FROM b WHERE doc_id < 5""")
+@query(f"""WITH {B} SELECT path, false AS created FROM b
+UNION ALL SELECT 'new/Note ' || doc_id || '.md', true FROM b""")
 def open_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = derived.notes(spark, sf_dir)
     n = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
-    wanted = notes.where(n < 20).select("path").unionByName(notes.where(n < 5).select(F.concat(F.lit("new/Note "), n.cast("string"), F.lit(".md")).alias("path")))
+    wanted = notes.select("path").unionByName(notes.select(F.concat(F.lit("new/Note "), n.cast("string"), F.lit(".md")).alias("path")))
     return rewrite.open_or_create(notes, wanted)
 
 
@@ -228,14 +227,19 @@ def graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (
-  SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)
-SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 100""")
+  SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node),
+n AS (SELECT DISTINCT a AS node FROM e)
+SELECT n.node || '.md' AS path, n.node AS title, false AS missing, degree FROM n JOIN d USING (node)
+UNION ALL SELECT 'missing:' || node, node, true, degree FROM d WHERE node NOT IN (SELECT node FROM n)""")
 def degree_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's nodes where customers link to nations and orders to customers; nations have no note."""
     customer, orders = derived.table(spark, sf_dir, "customer"), derived.table(spark, sf_dir, "orders")
     one = customer.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b"))
     two = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
-    ends = one.unionByName(two).select(F.explode(F.array("a", "b")).alias("node"))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(100)
+    linked = one.unionByName(two).select(F.concat("a", F.lit(".md")).alias("path"), F.concat(F.lit("[["), "b", F.lit("]]")).alias("line"))
+    notes = linked.select("path", F.concat(F.lit("# "), F.regexp_replace("path", r"\.md$", ""), F.lit("\n"), "line").alias("content"), F.lit(0).cast("long").alias("modified"))
+    return graph.nodes(notes).select("path", "title", "missing", "degree")
 
 
 # --- search and similarity -------------------------------------------------
@@ -342,6 +346,19 @@ def replace_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.replace_text(derived.notes(spark, sf_dir), "the", "THE").select("path", "content")
 
 
+@query(with_links(""",
+r AS (SELECT path AS was, regexp_replace(path, '/[^/]*$', '') AS dir, 'doc ' || doc_id AS name, trim(replace('Doc ' || doc_id, '0', '')) AS new FROM notes WHERE contains('Doc ' || doc_id, '0')),
+s AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, 'Doc ' || doc_id AS new FROM notes WHERE NOT contains('Doc ' || doc_id, '0')),
+k AS (SELECT r.*, row_number() OVER (PARTITION BY r.dir, r.new ORDER BY was) + CASE WHEN s.new IS NULL THEN 0 ELSE 1 END AS n FROM r LEFT JOIN s ON s.dir = r.dir AND s.new = r.new),
+t AS (SELECT was, dir, name, CASE WHEN n = 1 THEN new ELSE new || ' ' || n END AS stem FROM k),
+l AS (SELECT links.src, string_agg(trim(replace(coalesce(t.stem, links.target), '0', '')), '|' ORDER BY pos) AS links FROM links LEFT JOIN t ON t.name = links.name GROUP BY links.src)
+SELECT notes.path AS was, CASE WHEN t.stem IS NULL THEN notes.path ELSE t.dir || '/' || t.stem || '.md' END AS path, l.links FROM notes LEFT JOIN t ON t.was = notes.path LEFT JOIN l ON l.src = notes.path"""))
+def replace_with_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All noughts go, from names too, so that many names meet; links follow."""
+    done = rewrite.replace_all(derived.notes(spark, sf_dir).select("path", "content"), "0", "", True)
+    return done.select("was", "path", F.array_join(md.links("content"), "|").alias("links"))
+
+
 @query(with_notes("""SELECT CASE WHEN starts_with(path, 'de/src5/') THEN 'fr/src5/' || substr(path, 9) ELSE path END AS path, modified FROM notes"""))
 def move_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.move_folder(derived.notes(spark, sf_dir), "de/src5", "fr").select("path", "modified")
@@ -392,10 +409,17 @@ def throttled_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.throttled(derived.snapshots(spark, sf_dir), 36_000)
 
 
-@query()
+@query("""WITH l AS (
+  SELECT conv_id AS id, turn, coalesce(replace(text, chr(10), ' '), '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+x AS (SELECT *, lead(text) OVER (PARTITION BY id ORDER BY pos) AS after FROM l),
+gone AS (SELECT id, min(pos) AS at FROM x WHERE after IS NULL OR text <> after GROUP BY id)
+SELECT x.id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos = gone.at THEN 'del' ELSE 'same' END AS kind, text FROM x JOIN gone USING (id) WHERE n > 1
+UNION ALL SELECT id, 0, CASE WHEN text = '' THEN 'same' ELSE 'del' END, text FROM l WHERE n = 1
+UNION ALL SELECT id, 1, 'add', '' FROM l WHERE n = 1 AND text <> ''""")
 def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diffs of each conversation's turns against those without the first."""
-    turns = derived.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("rows"))
+    """Diffs of each conversation's turns, one to a line, against those without the first."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    turns = derived.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("text")))).alias("rows"))
     lines = F.col("rows.text")
     pairs = turns.select(F.col("conv_id").alias("id"), F.array_join(lines, "\n").alias("before"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("after"))
     return history.diffs(pairs)
@@ -440,11 +464,17 @@ def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.month_grid(spark, derived.day_notes(spark, sf_dir), "Journal", 2024, 1)
 
 
-@query("""WITH l AS (SELECT p_partkey AS pos, p_name AS label, strpos(lower(p_name), 'an') AS hit_at FROM part)
-SELECT pos, label, CAST(1001 - hit_at AS BIGINT) AS score FROM l WHERE hit_at > 0 ORDER BY score DESC, pos LIMIT 40""")
+@query("""WITH l AS (SELECT p_partkey AS pos, p_name AS label, lower(p_name) AS t FROM part),
+p AS (SELECT *, strpos(t, 'rg') AS whole, strpos(t, 'r') AS one FROM l),
+q AS (SELECT *, CASE WHEN one > 0 AND strpos(substr(t, one + 1), 'g') > 0 THEN one + strpos(substr(t, one + 1), 'g') ELSE 0 END AS two FROM p),
+s AS (SELECT pos, label, CASE WHEN whole > 0 THEN 1001 - whole WHEN two > 0 THEN
+  CASE WHEN one = 1 OR substr(t, one - 1, 1) IN (' ', '/', '-') THEN 6 ELSE 0 END + CASE WHEN one = 1 THEN 3 ELSE 1 END
+  + CASE WHEN substr(t, two - 1, 1) IN (' ', '/', '-') THEN 6 ELSE 0 END + CASE WHEN two = one + 1 THEN 3 ELSE 1 END END AS score FROM q)
+SELECT pos, label, CAST(score AS BIGINT) AS score FROM s WHERE score IS NOT NULL ORDER BY score DESC, pos LIMIT 40""")
 def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels against two letters that most hold apart from each other."""
     labels = derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"))
-    return folders.palette(labels.where(F.lower("label").contains("an")), "AN")
+    return folders.palette(labels, "RG")
 
 
 @query(with_notes("SELECT path, 'Doc ' || doc_id AS title, doc_id = 12 AS exact FROM notes WHERE contains('doc ' || doc_id, 'doc 12') ORDER BY lower('Doc ' || doc_id), path LIMIT 30"))
@@ -564,22 +594,23 @@ def note_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.notes(spark, sf_dir).select("path", nm.size_label(F.octet_length("content")).alias("size"))
 
 
-@query(f"""WITH {POSTS_CTE} SELECT pos, title, link, 'A' || (pos % 5) AS author, category AS categories, 't' || (pos % 3) AS tags FROM posts""")
+DECODED = "replace({0}, '&amp;', '&')"
+
+
+@query(f"""WITH {POSTS_CTE} SELECT pos, {DECODED.format('title')} AS title, link, 'A' || (pos % 5) AS author, category AS categories, 't' || (pos % 3) AS tags, md5(content_html) AS content FROM posts""")
 def posts_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts written as the site's JSON, read back with their authors looked up."""
+    """Posts written as the site's JSON, read back with titles decoded and authors looked up."""
     term = lambda name, kind: F.struct(F.lit(kind).alias("taxonomy"), name.alias("name"))
     page = derived.posts(spark, sf_dir).select(
         "pos",
         F.to_json(F.struct(
-            F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(F.lit("x").alias("rendered")).alias("content"), "link", (F.col("pos") % 5).alias("author"),
+            F.struct(F.col("title").alias("rendered")).alias("title"), F.struct(F.col("content_html").alias("rendered")).alias("content"), "link", (F.col("pos") % 5).alias("author"),
             F.struct(F.array(F.array(term(F.col("categories")[0], "category")), F.array(term(F.concat(F.lit("t"), F.col("pos") % 3), "post_tag"))).alias("wp:term")).alias("_embedded"),
         )).alias("json"),
     )
     authors = spark.range(5).select("id", F.concat(F.lit("A"), "id").alias("name"))
     read = importing.posts_from_json(page, authors)
-    title = derived.posts(spark, sf_dir).select("pos", F.col("title").alias("raw"))
-    # titles are decoded on the way in; the twin has them as they were
-    return read.join(title, "pos").select("pos", F.col("raw").alias("title"), "link", "author", F.array_join("categories", "|").alias("categories"), F.array_join("tags", "|").alias("tags"))
+    return read.select("pos", "title", "link", "author", F.array_join("categories", "|").alias("categories"), F.array_join("tags", "|").alias("tags"), F.md5("content_html").alias("content"))
 
 
 @query(f"WITH {POSTS_CTE} SELECT pos AS id, author AS name FROM posts WHERE pos <> 0")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import markdown as md
 from .functions.names import stem
+from .lineage import cut
 from .operators import folders, graph, rewrite, search
 from .operators.history import diff_rows
 from .plans import dql
@@ -139,11 +140,22 @@ class Vault:
         row = self.spark.createDataFrame([(0, folder, title)], "pos long, folder string, title string")
         new = rewrite.free_paths(notes.where(F.col("path") != path), row).first()["path"]
         name = new.rpartition("/")[2].removesuffix(".md")
-        changed = rewrite.rename(notes, path, name).where("changed").select("path", "content").collect()
+        changed = cut(rewrite.rename(notes, path, name).where("changed").select("path", "content"))
         os.replace(inside(self.root, path), inside(self.root, new))
-        for r in changed:
-            self.write_note(r.path, r.content)
-        return new, len(changed)
+        self.write(changed)
+        self._move_history(path, new)
+        return new, changed.count()
+
+    def _move_history(self, old: str, new: str | None) -> None:
+        """Snapshots follow a note, or go with it."""
+        here = os.path.join(self.history, old)
+        if os.path.isdir(here) and old != new:
+            if new is None:
+                shutil.rmtree(here)
+            else:
+                os.makedirs(os.path.dirname(os.path.join(self.history, new)), exist_ok=True)
+                shutil.rmtree(os.path.join(self.history, new), ignore_errors=True)
+                os.replace(here, os.path.join(self.history, new))
 
     def move_note(self, path: str, folder: str) -> str:
         """Move a note under a free name; links follow its stem and need no repair."""
@@ -152,6 +164,7 @@ class Vault:
         new = rewrite.free_paths(self.notes().where(F.col("path") != path), row).first()["path"]
         os.makedirs(os.path.dirname(inside(self.root, new)), exist_ok=True)
         os.replace(inside(self.root, path), inside(self.root, new))
+        self._move_history(path, new)
         return new
 
     def update_note(self, path: str, content: str, client: str | None = None) -> dict[str, Any]:
@@ -164,20 +177,32 @@ class Vault:
     def replace(self, find: str, replacement: str, rename_notes: bool = False) -> int:
         """Replace a text everywhere, with renames if asked for; how many notes changed."""
         self._ensure_write()
-        old = {r.path: r.content for r in self.notes().where(F.col("content").contains(find) | F.col("path").contains(find) | F.lit(rename_notes)).collect()} if find else {}
-        new = {r.path: r.content for r in rewrite.replace_all(self.notes().select("path", "content"), find, replacement, rename_notes).collect()} if find else {}
-        changed = [p for p, text in new.items() if old.get(p, text if p not in old and not rename_notes else None) != text]
-        for p in changed:
-            self.write_note(p, new[p])
-        for p in old.keys() - new.keys():
-            os.remove(inside(self.root, p))
-        return len(changed)
+        if not find:
+            return 0
+        old = self.notes().select(F.col("path").alias("was"), F.col("content").alias("text"))
+        new = rewrite.replace_all(self.notes().select("path", "content"), find, replacement, rename_notes)
+        # written aside first, as a note may take the path of one that moves on
+        changed = cut(new.join(old, "was").where("path <> was or content <> text").select("was", "path", "content"))
+        moved = changed.where("path <> was").select("was", "path").collect()
+        self.write(changed)
+        kept = {r.path for r in moved}
+        for r in moved:
+            if r.was not in kept:
+                os.remove(inside(self.root, r.was))
+        aside = [(r, os.path.join(self.history, f".moving-{i}")) for i, r in enumerate(moved) if os.path.isdir(os.path.join(self.history, r.was))]
+        for r, held in aside:
+            os.replace(os.path.join(self.history, r.was), held)
+        for r, held in aside:
+            os.makedirs(os.path.dirname(os.path.join(self.history, r.path)), exist_ok=True)
+            os.replace(held, os.path.join(self.history, r.path))
+        return changed.count()
 
     def delete_note(self, path: str) -> list[str]:
         """Delete a note; the notes whose links break by it."""
         self._ensure_write()
         broken = [r.path for r in graph.deletion_report(self.notes(), path).collect()]
         os.remove(inside(self.root, path))
+        self._move_history(path, None)
         return broken
 
     def delete_folder(self, name: str) -> None:
@@ -247,7 +272,7 @@ class Endpoint:
             "unlinked_mentions": lambda path: rows(vault.mentions(path)),
             "related_notes": lambda path, limit=8: rows(vault.related(path, limit)),
             "find_link_candidates": lambda text, limit=8: rows(vault.candidates(text, limit)),
-            "create_note": lambda title, content, folder="", client=None: vault.create_note(folder, title, content, client, ai=True),
+            "create_note": lambda title, content, folder="", client=None: {"path": vault.create_note(folder, title, content, client, ai=True)} | vault.check_links(content),
             "update_note": vault.update_note,
             "move_note": vault.move_note,
             "rename_note": vault.rename_note,

@@ -1,6 +1,7 @@
 """Operators on small vaults."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ def test_mentions(notes):
 
 
 def test_search(notes):
-    frame = notes(("Recipes.md", "Bread"), ("Work.md", "code AB-1234"))
-    assert [r.path for r in search.search(frame, "/[A-Z]{2}-\\d{4}/").collect()] == ["Work.md"]
+    frame = notes(("Recipes.md", "Bread"), ("Work.md", "part QX-77"))
+    assert [r.path for r in search.search(frame, "/[A-Z]{2}-\\d{2}/").collect()] == ["Work.md"]
     assert search.search(frame, "/[/").count() == 0 and search.search(frame, "  ").count() == 0
     assert [r.path for r in search.search(frame, "RECIPES").collect()] == []
     assert [r.path for r in search.search(frame, "re:^bre").collect()] == []
@@ -68,6 +69,11 @@ def test_rewrite(notes, spark):
     assert rows["b.md"].content == "[[New- one]] [[New- one|al]] [[New- one#s]]" and "a/New- one.md" in rows
     all_new = {r.path: r.content for r in rewrite.replace_all(frame.select("path", "content"), "Old", "New", True).collect()}
     assert all_new == {"a/New.md": "x", "b.md": "[[New]] [[New|al]] [[New#s]]"}
+    met = notes(("n1.md", "one [[n]]"), ("n.md", "none [[n1^p]] [[N11|x]]"), ("n11.md", "eleven"), ("n 2.md", "[[n1#h]]"), ("z/n1.md", ""))
+    got = {r.was: (r.path, r.content) for r in rewrite.replace_all(met.select("path", "content"), "1", "", True).collect()}
+    assert got == {"n1.md": ("n 3.md", "one [[n]]"), "n.md": ("n.md", "none [[n 3^p]] [[n 4|x]]"), "n11.md": ("n 4.md", "eleven"), "n 2.md": ("n 2.md", "[[n 3#h]]"), "z/n1.md": ("z/n.md", "")}
+    many = spark.range(3000).selectExpr("id AS pos", "'f' AS folder", "'Untitled' AS title")
+    assert rewrite.free_paths(frame, many).select("path").distinct().count() == 3000
     wanted = spark.createDataFrame([(0, "a", "Old"), (1, "a", "Old"), (2, "", "b"), (3, "a", "Old 2")], "pos long, folder string, title string")
     assert {r.pos: r["path"] for r in rewrite.free_paths(frame, wanted).collect()} == {0: "a/Old 2.md", 1: "a/Old 3.md", 2: "b 2.md", 3: "a/Old 2 2.md"}
     changed = rewrite.upsert(frame, notes(("b.md", "new"), ("c.md", "y")))
@@ -89,8 +95,23 @@ def test_history(spark):
     assert [(r.taken_at, r.content) for r in history.restore(log, "n", 11, 99).orderBy("taken_at").collect()] == [(99, "c"), (100, "b")]
 
 
+def longest(a, b):
+    """Lines in common, by trying all ways."""
+    if not a or not b:
+        return 0
+    return 1 + longest(a[1:], b[1:]) if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+
 def test_diff(spark):
     assert history.diff_rows("a\nb\nc", "a\nx\nc") == [(0, "same", "a"), (1, "del", "b"), (2, "add", "x"), (3, "same", "c")]
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = (["".join(rng.choice("abc")) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        rows = history.diff_rows("\n".join(a), "\n".join(b))
+        assert [t for _, k, t in rows if k != "add"] == "\n".join(a).split("\n") and [t for _, k, t in rows if k != "del"] == "\n".join(b).split("\n")
+        assert sum(k == "same" for _, k, _ in rows) == longest("\n".join(a).split("\n"), "\n".join(b).split("\n"))
+    long = [str(i % 997) for i in range(20_000)]
+    assert len(history.diff_rows("\n".join(long), "\n".join(long[5:] + ["end"]))) < 20_020
     pairs = spark.createDataFrame([(1, "a\nb", "b")], "id int, before string, after string")
     assert [(r.kind, r.text) for r in history.diffs(pairs).orderBy("pos").collect()] == [("del", "a"), ("same", "b")]
 

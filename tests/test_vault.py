@@ -65,6 +65,10 @@ def test_more_calls(spark, root):
     assert [r.target for r in vault.outgoing("A.md").collect()] == ["b"] and vault.mentions("B.md").count() == 0
     assert vault.update_note("B.md", "[[a]]", "codex")["resolved"] == ["a"] and "author: ai" in vault.read_note("B.md")
     assert vault.replace("Alpha", "Omega") == 1 and "Omega" in vault.read_note("A.md")
+    vault.write_note("foo1.md", "first")
+    vault.write_note("foo.md", "second")
+    assert vault.replace("1", "", rename_notes=True) == 1
+    assert vault.read_note("foo 2.md") == "first" and vault.read_note("foo.md") == "second" and not os.path.exists(f"{root}/foo1.md")
     assert vault.replace("A", "Z", rename_notes=True) >= 1 and os.path.exists(f"{root}/Z.md") and not os.path.exists(f"{root}/A.md")
     version = vault.snapshot("Z.md")
     vault.append_note("Z.md", "end")
