@@ -92,11 +92,12 @@ def is_imported(content: Column | str) -> Column:
 
 def front_and_body(content: Column | str) -> Column:
     """struct(front, body): the block from a leading ``---`` to the first line that begins with it."""
-    pattern = r"(?s)^---(.*?)\n---\n?(.*)$"
-    has = c(content).rlike(pattern)
+    at = F.locate("\n---", c(content), 4)
+    has = c(content).startswith("---") & (at > 0)
+    rest = F.substr(c(content), at + 4)
     return F.struct(
-        F.when(has, F.regexp_extract(c(content), pattern, 1)).otherwise("").alias("front"),
-        F.when(has, F.regexp_extract(c(content), pattern, 2)).otherwise(c(content)).alias("body"),
+        F.when(has, F.substr(c(content), F.lit(4), at - 4)).otherwise("").alias("front"),
+        F.when(has, F.when(rest.startswith("\n"), F.substr(rest, F.lit(2))).otherwise(rest)).otherwise(c(content)).alias("body"),
     )
 
 
@@ -142,36 +143,53 @@ def front_fields(front: Column) -> Column:
     return F.aggregate(trimmed, start, step, lambda s: s["out"])
 
 
+# An inline field, and a tag in a body.
 INLINE = r"(?dmU)(?:^|\[|\s)([A-Za-z][A-Za-z0-9 _-]{0,60})::\s*([^\]\n]+)"
+TAG = r"(?U)(?:^|\s)#([A-Za-z0-9_/-]+)"
 
 
 def inline_part(body: Column) -> Column:
     """The lines of a body that hold inline fields, with a value that stands on the next line."""
-    return F.array_join(F.regexp_extract_all(body, F.lit(r"(?dmU)^[^\n]*::\s*[^\]\n]+"), F.lit(0)), "\n")
+    found = F.array_join(F.regexp_extract_all(body, F.lit(r"(?dmU)^[^\n]*::\s*[^\]\n]+"), F.lit(0)), "\n")
+    return F.when(body.contains("::"), found).otherwise("")
 
 
-def fields(pairs: Column, inline: Column) -> Column:
-    """map<string,string> from ``front_fields`` and ``inline_part``; later ones win."""
-
-    def fold(acc: Column, e: Column) -> Column:
-        old = F.try_element_at(acc, e["key"])
-        value = F.when(e["item"] & old.isNotNull() & (old != ""), F.concat(old, F.lit(", "), e["value"])).otherwise(e["value"])
-        return F.map_concat(F.map_filter(acc, lambda k, _: k != e["key"]), F.create_map(e["key"], value))
-
+def entries(pairs: Column, inline: Column) -> Column:
+    """array<struct(key, value, item)> from ``front_fields`` and ``inline_part``, in order."""
     found = F.arrays_zip(
         F.transform(F.regexp_extract_all(inline, F.lit(INLINE), F.lit(1)), lambda k: ascii_lower(trim_white(k))).alias("key"),
         F.transform(F.regexp_extract_all(inline, F.lit(INLINE), F.lit(2)), lambda v: clean_value(trim_white(v))).alias("value"),
     )
     good = F.filter(found, lambda e: (e["key"] != "") & (e["value"] != ""))
     both = F.concat(pairs, F.transform(good, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("item"))))
-    return F.aggregate(both, F.create_map().cast("map<string,string>"), fold)
+    return F.when(inline == "", pairs).otherwise(both)
+
+
+def _joined(old: Column, e: Column) -> Column:
+    """A field's value after one more entry: items of a list add up, others replace."""
+    return F.when(e["item"] & old.isNotNull() & (old != ""), F.concat(old, F.lit(", "), e["value"])).otherwise(e["value"])
+
+
+def field(found: Column | str, key: str) -> Column:
+    """Value of one field from ``entries``; null without it."""
+    return F.aggregate(F.filter(c(found), lambda e: e["key"] == key), F.lit(None).cast("string"), _joined)
+
+
+def fields(pairs: Column, inline: Column) -> Column:
+    """map<string,string> from ``front_fields`` and ``inline_part``; later ones win."""
+
+    def fold(acc: Column, e: Column) -> Column:
+        value = _joined(F.try_element_at(acc, e["key"]), e)
+        return F.map_concat(F.map_filter(acc, lambda k, _: k != e["key"]), F.create_map(e["key"], value))
+
+    return F.aggregate(entries(pairs, inline), F.create_map().cast("map<string,string>"), fold)
 
 
 def tags(pairs: Column, body: Column) -> Column:
     """Sorted distinct tags from ``front_fields`` and the body."""
     front = F.filter(pairs, lambda e: e["key"] == "tags")
     listed = F.flatten(F.transform(front, lambda e: F.when(e["item"], F.array(e["value"])).otherwise(F.split(e["value"], ","))))
-    inside = F.regexp_extract_all(body, F.lit(r"(?U)(?:^|\s)#([A-Za-z0-9_/-]+)"), F.lit(1))
+    inside = F.when(body.contains("#"), F.regexp_extract_all(body, F.lit(TAG), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(listed, inside), clean_tag), lambda t: t != "")))
 
 

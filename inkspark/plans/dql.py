@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.names import stem
+from ..lineage import cut
 
 # Error codes that callers rely on.
 UNSUPPORTED, NO_COLUMNS = "unsupported_query", "table_columns_required"
@@ -137,28 +140,79 @@ def parse(text: str) -> Query:
     raise QueryError(UNSUPPORTED)
 
 
-def pages(notes: DataFrame) -> DataFrame:
+#: Fields that follow from a note's path; the title is read from its text.
+OF_PATH = ("file.name", "file.path", "file.link")
+
+
+def key_of(name: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), name.strip())
+
+
+def mentioned(query: Query) -> set[str]:
+    """Keys of all fields that a query reads."""
+    names = [f for f, _ in query.columns] + [x[0] for x in (query.where, query.sort) if x]
+    return {key_of(n) for n in names}
+
+
+def _true_of_nothing(op: str, wanted: str) -> bool:
+    """Whether a condition holds where the field is missing."""
+    other = wanted.lower()
+    return {"=": other == "", "!=": other != "", ">": False, ">=": other == "", "<": other != "", "<=": True}[op]
+
+
+def _candidates(notes: DataFrame, query: Query) -> DataFrame:
+    """Notes whose text holds the words without which a query's tag or condition cannot hold."""
+    low = F.lower("content")
+    if query.source and query.source[0] == "tag":
+        notes = notes.where(low.contains(query.source[1].lower()))
+    if query.where and not _true_of_nothing(*query.where[1:]) and (key := key_of(query.where[0])) not in (*OF_PATH, "title"):
+        notes = notes.where(low.contains(key.lower()))
+    return notes
+
+
+def pages(notes: DataFrame, query: Query | None = None) -> DataFrame:
     """path, title, fields (map) and tags (array) of every note.
 
-    Each step is a projection of its own, so that what several later ones need
-    is computed once for each note. The last one passes a one-row generator:
-    conditions on fields would otherwise be pushed below it with a copy of the
-    whole reading for each mention of a field. Conditions on the path still
-    reach the scan.
+    With a query, only the notes that it may choose are read, and only what it
+    reads of them: the fields that it names, and the title or the tags where
+    they matter. Each step is a projection of its own, so that what several
+    later ones need is computed once for each note. The last one passes a
+    one-row generator: conditions on fields would otherwise be pushed below it
+    with a copy of the whole reading for each mention of a field. Conditions on
+    the path still reach the scan.
     """
-    split = notes.select("path", md.title("path", "content").alias("title"), md.front_and_body("content").alias("parts"))
-    read = split.select("path", "title", "parts", md.front_fields(F.col("parts.front")).alias("pairs"), md.inline_part(F.col("parts.body")).alias("inline"))
-    own = read.select("path", "title", md.fields(F.col("pairs"), F.col("inline")).alias("own"), md.tags(F.col("pairs"), F.col("parts.body")).alias("tags"))
-    builtin = {"file.name": stem("path"), "file.path": F.col("path"), "file.link": F.concat(F.lit("[["), stem("path"), F.lit("]]")), "title": F.col("title")}
-    given = F.create_map(*[x for k, v in builtin.items() for x in (F.lit(k), v)])
-    merged = F.map_concat(F.map_filter(given, lambda k, _: ~F.map_contains_key("own", k)), F.col("own"))
-    row = F.struct("title", merged.alias("fields"), "tags")
-    return own.select("path", F.inline(F.array(row)))
+    if query is not None:
+        notes = _candidates(notes, query)
+    keys = None if query is None else tuple(sorted(mentioned(query) - {*OF_PATH, "title"}))
+    named = query is None or "title" in mentioned(query)
+    tagged = query is None or bool(query.source and query.source[0] == "tag")
+    title, parts, pairs, inline, own, tags, row = _reading(id(SparkContext._gateway), keys, named, tagged)
+    read = notes.select("path", title, parts).select("path", "title", "parts", pairs, inline)
+    return read.select("path", "title", own, tags).select("path", row)
+
+
+@lru_cache(maxsize=256)
+def _reading(gateway: int, keys: tuple[str, ...] | None, named: bool, tagged: bool) -> tuple[SparkColumn, ...]:
+    """The expressions of ``pages``; building them costs more than reading a small vault, so they are kept."""
+    title = md.title("path", "content") if named else F.lit(None).cast("string")
+    tags = md.tags(F.col("pairs"), F.col("parts.body")) if tagged else F.array().cast("array<string>")
+    if keys is None:
+        own = md.fields(F.col("pairs"), F.col("inline"))
+        builtin = {"file.name": stem("path"), "file.path": F.col("path"), "file.link": F.concat(F.lit("[["), stem("path"), F.lit("]]")), "title": F.col("title")}
+        given = F.create_map(*[x for k, v in builtin.items() for x in (F.lit(k), v)])
+        merged = F.map_concat(F.map_filter(given, lambda k, _: ~F.map_contains_key("own", k)), F.col("own"))
+    else:
+        own = md.entries(F.col("pairs"), F.col("inline")) if keys else F.lit(None)
+        merged = F.create_map(*[x for k in keys for x in (F.lit(k), md.field("own", k))]).cast("map<string,string>")
+    return (
+        title.alias("title"), md.front_and_body("content").alias("parts"), md.front_fields(F.col("parts.front")).alias("pairs"), md.inline_part(F.col("parts.body")).alias("inline"),
+        own.alias("own"), tags.alias("tags"), F.inline(F.array(F.struct("title", merged.alias("fields"), "tags"))),
+    )
 
 
 def value_of(name: str) -> SparkColumn:
     """A field of a page; the computed ones cannot be overridden and a missing one is empty."""
-    key = re.sub("[A-Z]", lambda m: m[0].lower(), name.strip())
+    key = key_of(name)
     match key:
         case "file.name":
             return stem("path")
@@ -207,7 +261,8 @@ def plan(pages_frame: DataFrame, query: Query) -> DataFrame:
     if query.where:
         frame = frame.where(_where(*query.where))
     if query.sort:
-        frame = _sorted(frame, *query.sort)
+        # a sort of everything looks at its input twice; what is left of it by now is small
+        frame = _sorted(cut(frame) if query.limit is None else frame, *query.sort)
     elif query.limit is not None:
         frame = frame.orderBy("path")
     return frame if query.limit is None else frame.limit(query.limit)
@@ -219,7 +274,7 @@ def run(notes: DataFrame, text: str) -> Result:
         query = parse(text)
     except QueryError as mistake:
         return Result("error", error=str(mistake))
-    frame = plan(pages(notes), query)
+    frame = plan(pages(notes, query), query)
     if query.kind == "table":
         return Result("table", [label for _, label in query.columns], frame.select("path", F.array(*[value_of(f) for f, _ in query.columns]).alias("row")))
     link = F.concat(F.lit("[["), stem("path"), F.lit("]]"))
