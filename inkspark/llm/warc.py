@@ -3,37 +3,47 @@
 *Writing.* Each page becomes a WARC/1.1 record whose payload is the page in
 UTF-8 behind a short HTTP header. Of records with equal payloads of at least
 ``min_bytes`` bytes the one with the largest page_id is the response and the
-others revisit it. A record is a string that ends in two line breaks, so
-Spark's own text writer commits the archives (gzip), wherever the shared
-folder lives; ``records_per_file`` bounds a file.
+others revisit it. A record is a gzip member of its own; a file is closed
+before it exceeds ``file_bytes`` (a longer record is a file alone). Tasks write
+to names that no other attempt uses and report what they have closed; only
+files in that report are read, so a task that is lost or runs twice does no harm.
 
-*Reading.* Files are parsed by Content-Length as they are decompressed; the
-payload's length and digest are computed anew and must match the header.
+*Reading.* Files are read as streams, a record at a time. A payload's length
+and digest are computed anew and must match the header; a revisit must name a
+response with its digest and length. ``at`` is the place of the record's
+member in the file, from which it can be read alone.
 
 *Index.* Every archive yields a run of captures sorted by URL key, timestamp
-and page. Runs are dealt by range of that whole key, so no URL is too hot, and
-each range merges its runs with a loser tree: the rows come out in global
-order of (range, place).
+and page. Runs are cut and dealt by range of that whole key, so no URL is too
+hot; Spark's sort, which spills, brings the pieces of each run to a range in
+order, and there a loser tree merges them as they stand in Arrow batches. The
+rows come out in global order of (range, place).
 
 Defined results: a null page is an empty payload; a null URL has the empty key
 and no target line; a null page_id is never the response to others but of a
 group that has only null ids all are responses; equal rows are alike: those
-that equal the response in page_id and payload are responses too.
+that equal the response in page_id and payload are responses too; an empty
+table gives no archives and an empty index; a very long page is one record,
+held once by its task; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, scratch_path
+from ._shared import cut, scratch_path, store, unique_join
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,8 +60,21 @@ def base32_of_hex(digest: Column) -> Column:
     return F.array_join(F.transform(value, lambda v: F.concat(*[sign(v, s) for s in (15, 10, 5, 0)])), "")
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 4000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> None:
-    """Write one record for each row of ``pages`` below ``path``.
+#: Rows that revisit another, up to which they are broadcast (60 bytes each).
+MAX_BROADCAST = 200_000
+
+
+def files_at(path: str):
+    """(file system, folder) of a path or URI, for tasks."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 1 << 26, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> DataFrame:
+    """Write one record for each row of ``pages`` below ``path``; archive, records and bytes of every file.
 
     ``captured`` is a timestamp; without one, captures are a second apart in
     the order of page ids, from 2024 on.
@@ -69,7 +92,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int
     small = rows.where(F.col("n") >= min_bytes).select("page_id", "sha1")
     first = small.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers_to is not null")
     again = small.join(first, "sha1").where("page_id is null or page_id <> refers_to").select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "refers_to").distinct()
-    both = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
+    again = cut(again)
+    few = again.count() <= MAX_BROADCAST  # then pages are not shuffled
+    both = rows.join(F.broadcast(again) if few else again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
     line = "\r\n"
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), F.col("n").cast("string"), F.lit(line * 2))
@@ -84,9 +109,37 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int
         F.coalesce(F.concat(F.lit(f"{line}WARC-Profile: {REVISIT}{line}WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")), F.lit("")),
         F.lit(f"{line}X-Payload-Length: "), F.col("n").cast("string"),
         F.lit(f"{line}Content-Type: application/http; msgtype=response{line}Content-Length: "), block.cast("string"),
-        F.lit(line * 2), http, F.when(revisit, F.lit("")).otherwise(F.col("html")),
+        F.lit(line * 2), http,
     )
-    both.select(record.alias("value")).write.option("lineSep", line * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = files_at(path)
+        files.create_dir(folder)
+        done: list[tuple] = []
+        out, name, n, size = None, "", 0, 0
+
+        def close() -> None:
+            nonlocal out
+            if out is not None:
+                out.close()
+                done.append((name, n, size))
+                out = None
+
+        for batch in batches:
+            for head, body in zip(batch.column(0), batch.column(1)):
+                member = gzip.compress(f"{head.as_py()}{body.as_py()}\r\n\r\n".encode(), 6, mtime=0)
+                if out is not None and size + len(member) > file_bytes:
+                    close()
+                if out is None:
+                    name, n, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
+                out.write(member)
+                n, size = n + 1, size + len(member)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
+
+    parts = both.select(record.alias("head"), F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("body"))
+    return store(parts.mapInArrow(run, "archive string, records long, bytes long"), "archives")[0]
 
 
 def url_key(url: str | None) -> str:
@@ -102,23 +155,35 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + slash + path
 
 
-def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of every record of a plain or gzip archive, read as a stream."""
-    packed = content[:2] == b"\x1f\x8b"
-    inflate = zlib.decompressobj(31) if packed else None
-    taken, held, base = 0, bytearray(), 0
+def records(source: bytes | io.IOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of every record of a plain or gzip archive, read as a stream.
+
+    The offset is that of the record, in a gzip archive that of the member in
+    which it begins.
+    """
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    first = stream.read(1 << 18)
+    inflate = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
+    waiting, held, base = first, bytearray(), 0
+    begun, taken = [(0, 0)], 0  # (place in the inflated text, place in the file) of members
+    inflated = 0
 
     def more() -> bool:
-        nonlocal taken, inflate
-        if taken >= len(content):
+        nonlocal waiting, inflate, taken, inflated
+        part = waiting or stream.read(1 << 18)
+        waiting = b""
+        if not part:
             return False
-        part = content[taken : taken + (1 << 18)]
-        taken += len(part)
         while part:
-            held.extend(inflate.decompress(part) if inflate else part)
-            part = inflate.unused_data if inflate else b""
-            if part:  # the next member of the file
+            text = inflate.decompress(part) if inflate else part
+            held.extend(text)
+            inflated += len(text)
+            left = inflate.unused_data if inflate else b""
+            taken += len(part) - len(left)
+            if inflate and inflate.eof:
                 inflate = zlib.decompressobj(31)
+                begun.append((inflated, taken))
+            part = left
         return True
 
     while True:
@@ -127,8 +192,8 @@ def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
                 if bytes(held).strip():
                     raise ValueError("the archive ends within a record's headers")
                 return
-        first, *lines = held[:end].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
+        first_line, *lines = held[:end].decode("utf-8").split("\r\n")
+        if not first_line.startswith("WARC/"):
             raise ValueError(f"no WARC record at offset {base}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(headers["content-length"])
@@ -138,7 +203,9 @@ def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
                 raise ValueError("the archive ends within a record")
         if held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at offset {base} is not closed")
-        yield base, headers, bytes(held[end + 4 : stop])
+        while len(begun) > 1 and begun[1][0] <= base:
+            begun.pop(0)
+        yield (begun[0][1] if inflate else base), headers, bytes(held[end + 4 : stop])
         del held[: stop + 4]
         base += stop + 4
 
@@ -171,18 +238,31 @@ def _batch(rows: list[tuple], *extra: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, *["range", "place"][: len(extra)]])
 
 
-def read(spark, path: str) -> DataFrame:
-    """Captures of all archives below ``path``; those of an archive are a sorted run."""
+def read(archives: DataFrame, path: str) -> DataFrame:
+    """Captures of the ``archives`` below ``path``; those of an archive are a sorted run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = files_at(path)
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column("path")[i].as_py().rpartition("/")[2]
-                rows = sorted((capture(*r, name) for r in records(batch.column("content")[i].as_py())), key=_order)
+            for name in batch.column("archive").to_pylist():
+                with files.open_input_stream(f"{folder}/{name}", compression=None) as stream:
+                    rows = sorted((capture(*r, name) for r in records(stream)), key=_order)
                 for at in range(0, len(rows), 5000):
                     yield _batch(rows[at : at + 5000])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, CAPTURES)
+    tasks = min(max(archives.count(), 1), 10_000)
+    return archives.select("archive").repartition(tasks).mapInArrow(run, CAPTURES)
+
+
+def checked(captures: DataFrame) -> DataFrame:
+    """``captures``, whose revisits must name a response of their digest and length."""
+    known = F.concat_ws(" ", F.col("page_id").cast("string"), "payload_digest", F.col("payload_bytes").cast("string"))
+    named = F.when(F.col("record_type") == "revisit", F.concat_ws(" ", F.col("refers_to").cast("string"), "payload_digest", F.col("payload_bytes").cast("string")))
+    there = captures.where("record_type = 'response' and page_id is not null").select(known.alias("named")).distinct().withColumn("found", F.lit(True))
+    both = unique_join(captures.withColumn("named", named), there, "named")
+    lost = F.col("named").isNotNull() & F.col("found").isNull()
+    size = F.when(lost, F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("long")).otherwise(F.col("payload_bytes"))
+    return both.withColumn("payload_bytes", size).drop("named", "found")
 
 
 class LoserTree:
@@ -230,15 +310,22 @@ def merged_index(captures: DataFrame, per_range: int = 200_000) -> DataFrame:
     captures = cut(captures)
     ranges = max(1, -(-captures.count() // per_range))
 
+    def stream(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in parts:
+            for at in range(0, part.num_rows, 500):
+                yield from zip(*(c.to_pylist() for c in part.slice(at, 500).columns))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[7], []).append(row)
-        for rows in runs.values():  # a run arrives in order; this is one pass then
-            rows.sort(key=_order)
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:  # archive by archive, in the order of the key
+            names = batch.column("archive").dictionary_encode()
+            code = names.indices.to_numpy()
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    runs.setdefault(names.dictionary[int(code[a])].as_py(), []).append(batch.slice(a, b - a))
         number, place, held = TaskContext.get().partitionId(), 0, []
-        for row in LoserTree(list(runs.values())):
+        for row in LoserTree([stream(parts) for parts in runs.values()]):
             held.append(row)
             if len(held) == 5000:
                 yield _batch(held, pa.array([number] * len(held), pa.int32()), pa.array(range(place, place + len(held)), pa.int64()))
@@ -246,11 +333,12 @@ def merged_index(captures: DataFrame, per_range: int = 200_000) -> DataFrame:
         if held:
             yield _batch(held, pa.array([number] * len(held), pa.int32()), pa.array(range(place, place + len(held)), pa.int64()))
 
-    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "at").mapInArrow(run, CAPTURES + ", range int, place long")
+    key = ["url_key", "captured", "page_id", "archive", "at"]
+    dealt = captures.repartitionByRange(ranges, *key).sortWithinPartitions("archive", "url_key", "captured", "page_id", "at")
+    return dealt.mapInArrow(run, CAPTURES + ", range int, place long")
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None, file_bytes: int = 1 << 26) -> DataFrame:
     """Write ``pages`` as archives, read them back, and return the merged index."""
     path = path or scratch_path(pages.sparkSession, "warc")
-    write(pages, path, min_bytes)
-    return merged_index(read(pages.sparkSession, path))
+    return merged_index(checked(cut(read(write(pages, path, min_bytes, file_bytes), path))))

@@ -132,6 +132,17 @@ def test_archives(spark, tmp_path):
     ordered = [(r.url_key, r.captured) for r in sorted(rows, key=lambda r: (r.range, r.place))]
     assert ordered == sorted(ordered)
     assert warc.round_trip(both.where("false"), path=str(tmp_path / "e")).count() == 0
+    small = warc.round_trip(both.repartition(2), path=str(tmp_path / "s"), file_bytes=5_000).collect()
+    assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in small))) == sorted(map(str, want))
+    assert len({r.archive for r in small}) > 5
+    for r in small[:40]:  # a record is found again by its place
+        with open(tmp_path / "s" / r.archive, "rb") as f:
+            f.seek(r["at"])
+            _, headers, _ = next(warc.records(f))
+        assert headers["warc-payload-digest"] == f"sha1:{r.payload_digest}" and warc._page(headers["warc-record-id"]) == r.page_id
+    lost = both.sparkSession.createDataFrame([(r.url_key, r.captured, r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.archive, r["at"]) for r in small if r.record_type == "revisit"], warc.CAPTURES)
+    with pytest.raises(Exception, match="no response"):
+        warc.checked(lost).collect()
     assert all(r.record_type == "response" for r in warc.round_trip(both, min_bytes=10**9, path=str(tmp_path / "m")).collect())
 
 
