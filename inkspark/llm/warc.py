@@ -261,7 +261,7 @@ def checked(captures: DataFrame) -> DataFrame:
     there = captures.where("record_type = 'response' and page_id is not null").select(known.alias("named")).distinct().withColumn("found", F.lit(True))
     both = unique_join(captures.withColumn("named", named), there, "named")
     lost = F.col("named").isNotNull() & F.col("found").isNull()
-    size = F.when(lost, F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("long")).otherwise(F.col("payload_bytes"))
+    size = F.when(lost, F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))).cast("long")).otherwise(F.col("payload_bytes"))
     return both.withColumn("payload_bytes", size).drop("named", "found")
 
 
