@@ -127,7 +127,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 1 <
 
         for batch in batches:
             for head, body in zip(batch.column(0), batch.column(1)):
-                member = gzip.compress(f"{head.as_py()}{body.as_py()}\r\n\r\n".encode(), 6, mtime=0)
+                member = gzip.compress(f"{head.as_py()}{body.as_py()}\r\n\r\n".encode(), 2, mtime=0)
                 if out is not None and size + len(member) > file_bytes:
                     close()
                 if out is None:
