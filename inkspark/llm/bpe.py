@@ -12,8 +12,11 @@ there and the work stays linear in the piece.
 Whole pieces that are vocabulary entries are single tokens, as in the tiktoken
 library.
 
-Defined results: a null text encodes like an empty one (no ids). Equal rows
-give equal results; other columns are carried along.
+Defined results: a null text encodes like an empty one (no ids); equal rows
+give equal results; an empty table gives an empty result; a very long text is
+encoded whole, piece by piece, each in linear time; where several tokens are
+as long the merges decide, so there are no ties; a column named like a result
+is replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -60,7 +63,6 @@ class Bpe:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, self.ranks))
         self.split = regex.compile(spaces(pattern)).findall
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
@@ -107,28 +109,34 @@ class Bpe:
         return path
 
     def _search(self, piece: bytes, path: list[int]) -> list[int]:
-        """Depth-first from longest tokens; ``path`` is a prefix whose pairs fit."""
-        end, longest = len(piece), self.longest
+        """Depth-first from longest tokens; ``path`` is a prefix whose pairs fit.
+
+        The automaton gives all tokens that begin at each place, in one pass.
+        """
+        end = len(piece)
         at = sum(len(self.tokens[t]) for t in path)
+        begin: list[list[int]] = [[] for _ in range(end)]
+        for last, token in self.automaton.iter(piece.decode("latin-1")):
+            begin[last + 1 - len(self.tokens[token])].append(token)  # the shorter first, as they end earlier
         dead: set[tuple[int, int]] = set()
-        size = min(longest, end - at)
+        left = len(begin[at])
         while at < end:
             step = None
-            while size:
-                token = self.ranks.get(piece[at : at + size])
-                if token is not None and (at, token) not in dead and self.stands(token) and (not path or self.fits(path[-1], token)):
+            while left:
+                left -= 1
+                token = begin[at][left]
+                if (at, token) not in dead and self.stands(token) and (not path or self.fits(path[-1], token)):
                     step = token
                     break
-                size -= 1
             if step is not None:
                 path.append(step)
                 at += len(self.tokens[step])
-                size = min(longest, end - at)
+                left = len(begin[at]) if at < end else 0
             else:
                 last = path.pop()
                 at -= len(self.tokens[last])
                 dead.add((at, last))
-                size = len(self.tokens[last]) - 1
+                left = begin[at].index(last)
         return path
 
     def encode(self, text: str) -> bytes:

@@ -29,7 +29,10 @@ it every candidate pair is verified and all links are returned.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and links with nothing; repeated rows are members of one class; ``doc_id`` may
-be null or repeat, as classes are known by content.
+be null or repeat, as classes are known by content; n-grams of equal frequency
+are ordered by their hash; a very long text is one set like any other, handled
+whole by its task; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,11 @@ about ``per_task`` sequences; within each, Spark sorts them by falling length
 and a segment tree over the remaining capacities of open sequences finds the
 tightest one that still fits, in logarithmic time for each piece.
 
-Defined results: a null text has the separator alone; equal rows are packed
-separately; an empty table gives an empty result; other columns are not read.
+Defined results: a null or empty text has the separator alone; a null id is
+kept; equal rows are packed separately; pieces of one length come in the order
+of id and piece; a very long text is encoded whole and only its pieces are
+moved; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -106,3 +106,41 @@ def test_best_fit(lengths):
             room.append(50)
         assert offset == 50 - room[which]
         room[which] -= n
+
+
+PLAIN = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(st.sampled_from(PLAIN), max_size=40), st.text(st.sampled_from(PLAIN[:128]), max_size=80)))
+def test_plain_texts_are_the_same_to_both_libraries(text):
+    """Over the whole of the plain characters, control characters and white space included."""
+    coder = packing.coder(JSON, PATTERN)
+    assert coder.encode(text).tolist() == packing._tokenizer(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_every_plain_pair_of_kinds():
+    """Each plain character alone, doubled, and between a letter, a digit and spaces."""
+    coder, library = packing.coder(JSON, PATTERN), packing._tokenizer(JSON)
+    for ch in PLAIN:
+        for text in (ch, ch * 2, f"a{ch}b", f"1{ch}2", f" {ch} ", f"x  {ch}\n{ch}'s"):
+            assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(ch))
+
+
+def test_packing_in_several_tasks(spark):
+    """Null ids and repeated rows are packed apart; no task leaves more than one sequence open beyond need."""
+    rows = [(i % 300 if i % 7 else None, "word " * (i * 37 % 1500), "clash", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length string, piece long")
+    parts = packing.pieces(docs, JSON, PATTERN)
+    out = packing.pack(parts, per_task=60).collect()
+    total = sum(r.length for r in out)
+    assert len({r.sequence_id >> 40 for r in out}) > 2
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in bins.values():
+        placed.sort()
+        assert [o for o, _ in placed] == [sum(n for _, n in placed[:i]) for i in range(len(placed))]
+    tasks = len({s >> 40 for s in bins})
+    assert total / 2048 <= len(bins) <= 1.02 * total / 2048 + tasks
+    assert sum(r.doc_id is None for r in out if r.piece == 0) == sum(r[0] is None for r in rows)
