@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import markdown as md
 from ..functions.names import c, match_key, normal_link, slug, stem, trim_white
 
 # Named entities in the order in which they are decoded.
@@ -140,10 +141,71 @@ def terms(posts: DataFrame) -> DataFrame:
 
 
 def existing_keys(notes: DataFrame, titles: Column) -> DataFrame:
-    """key -> stem: which note answers to a name, by its stem or else by its title."""
+    """key -> stem, path: which note answers to a name, by its stem or else by its title."""
     by_stem = notes.select(match_key(stem("path")).alias("key"), F.lit(0).alias("rank"), stem("path").alias("stem"), "path")
     by_title = notes.select(match_key(titles).alias("key"), F.lit(1).alias("rank"), stem("path").alias("stem"), "path")
-    return by_stem.unionByName(by_title).groupBy("key").agg(F.min_by("stem", F.struct("rank", "path")).alias("stem"))
+    best = by_stem.unionByName(by_title).where("key <> ''").groupBy("key").agg(F.min_by(F.struct("stem", "path"), F.struct("rank", "path")).alias("n"))
+    return best.select("key", "n.stem", "n.path")
+
+
+def _answering(notes: DataFrame, posts: DataFrame, author_note: str) -> DataFrame:
+    """key -> stem, path of the user's own notes; a chosen note answers to every author."""
+    own = existing_keys(notes.where(~md.is_imported("content")), md.title("path", "content"))
+    if not author_note.strip():
+        return own
+    chosen = F.lit(author_note.strip())
+    authors = posts.where("author <> ''").select(match_key("author").alias("key")).distinct().select("key", stem(chosen).alias("stem"), chosen.alias("path"))
+    return own.join(authors.select("key"), "key", "left_anti").unionByName(authors)
+
+
+def import_into(notes: DataFrame, posts: DataFrame, folder: str, author_override: str = "", author_note: str = "") -> DataFrame:
+    """path, action, content: what an import does to a vault.
+
+    ``write`` makes a post's or a hub's note anew; ``block`` puts the list of a
+    hub's posts into the managed block of the user's note that answers to its
+    name; ``delete`` takes away a note that an earlier import made and that one
+    of the user's notes now stands for. Where several hubs answer to one note
+    the last by kind and name has the block.
+    """
+    posts = posts.withColumn("author", F.lit(author_override.strip())) if author_override.strip() else posts
+    known = _answering(notes, posts, author_note)
+    made = notes_of(posts, folder, known).select("path", F.lit("write").alias("action"), "content")
+    hub = hubs(posts, known).where("exists").withColumn("key", match_key("name")).join(known.select("key", "path"), "key")
+    last = hub.groupBy("path").agg(F.max_by(F.struct("name", "titles"), F.struct("kind", "name")).alias("h")).select("path", block_text("h.name", "h.titles").alias("block"))
+    merged = notes.join(last, "path").select("path", F.lit("block").alias("action"), "content", with_block("content", "block").alias("new"))
+    merged = merged.where("new <> content").select("path", "action", F.col("new").alias("content"))
+    old = notes.where(md.is_imported("content")).withColumn("key", match_key(stem("path"))).join(known.select("key"), "key", "left_semi")
+    gone = old.join(made.select("path"), "path", "left_anti").select("path", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("content"))
+    return made.unionByName(merged).unionByName(gone)
+
+
+def import_report(notes: DataFrame, posts: DataFrame, folder: str, author_override: str = "", author_note: str = "") -> DataFrame:
+    """name, path, merged of every author: which note has it, and whether that was there before."""
+    posts = posts.withColumn("author", F.lit(author_override.strip())) if author_override.strip() else posts
+    known = _answering(notes, posts, author_note).select("key", F.col("path").alias("there"))
+    prefix = folder.strip().strip("/")
+    made = F.concat(F.lit(prefix + "/" if prefix else ""), slug("author"), F.lit(".md"))
+    names = posts.where("author <> ''").select("author").distinct().withColumn("key", match_key("author")).join(known, "key", "left")
+    return names.select(F.col("author").alias("name"), F.coalesce("there", made).alias("path"), F.col("there").isNotNull().alias("merged"))
+
+
+def pages_of_posts(fetch, base: str, size: int = 100, most: int = 50) -> list[str]:
+    """JSON texts of a site's pages of posts, by ``fetch(url)``, which gives None where there is no such page.
+
+    Stops at a missing page, at an empty one, and after one that is not full.
+    """
+    import json
+
+    found: list[str] = []
+    for n in range(1, most + 1):
+        text = fetch(f"{base}/wp-json/wp/v2/posts?per_page={size}&page={n}&_embed=1")
+        rows = json.loads(text) if text else []
+        if not isinstance(rows, list) or not rows:
+            break
+        found += [json.dumps(r, ensure_ascii=False) for r in rows]
+        if len(rows) < size:
+            break
+    return found
 
 
 def hubs(posts: DataFrame, existing: DataFrame | None = None) -> DataFrame:

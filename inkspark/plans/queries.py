@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
@@ -496,7 +496,7 @@ ANGLE = "(row_number() OVER (ORDER BY path) - 1) * (pi() * (3 - sqrt(5)))"
 
 @query(with_notes(f"SELECT path, round(cos({ANGLE}) * {SEED}, 4) + 0.0 AS x, round(sin({ANGLE}) * {SEED}, 4) + 0.0 AS y FROM notes"))
 def layout_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = derived.notes(spark, sf_dir).select("path").withColumn("i", F.row_number().over(Window.orderBy("path")) - 1)
+    nodes = rewrite.numbered(derived.notes(spark, sf_dir).select("path"), "path", "i")
     placed = folders.seeds(nodes)
     return placed.select("path", (F.round("x", 4) + F.lit(0.0)).alias("x"), (F.round("y", 4) + F.lit(0.0)).alias("y"))
 
@@ -541,6 +541,51 @@ def import_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importing.notes_of(derived.posts(spark, sf_dir), "Blog")
 
 
+IMPORT_CTE = f"""{POSTS_CTE},
+hubs AS (SELECT DISTINCT category AS name FROM posts UNION SELECT DISTINCT author FROM posts WHERE author <> ''),
+vault AS (
+  SELECT 'mine/' || name || '.md' AS path, '# About ' || name || chr(10) || 'own words  ' || chr(10) AS content, false AS made FROM hubs WHERE length(name) % 3 = 0
+  UNION ALL SELECT 'people/P ' || name || '.md', '# ' || upper(name) || chr(10) || '<!-- imported-start -->old<!-- imported-end -->' || chr(10) || 'after', false FROM hubs WHERE length(name) % 3 = 1
+  UNION ALL SELECT 'Old/' || name || '.md', '---' || chr(10) || 'source: import' || chr(10) || '---' || chr(10) || name, true FROM hubs)"""
+
+
+def _vault_of_hubs(posts: DataFrame) -> DataFrame:
+    """Notes of the user's own under a hub's name or title, and old notes of an import, as in ``IMPORT_CTE``."""
+    name, size = F.col("name"), F.length("name") % 3
+    names = posts.select(F.explode(F.array(F.col("categories")[0], "author")).alias("name")).where("name <> ''").distinct()
+    old = F.struct(F.concat(F.lit("Old/"), name, F.lit(".md")).alias("path"), F.concat(F.lit("---\nsource: import\n---\n"), name).alias("content"))
+    mine = F.struct(F.concat(F.lit("mine/"), name, F.lit(".md")).alias("path"), F.concat(F.lit("# About "), name, F.lit("\nown words  \n")).alias("content"))
+    titled = F.struct(F.concat(F.lit("people/P "), name, F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.upper(name), F.lit(f"\n{importing.BLOCK_START}old{importing.BLOCK_END}\nafter")).alias("content"))
+    return names.select(F.inline(F.when(size == 0, F.array(old, mine)).when(size == 1, F.array(old, titled)).otherwise(F.array(old))))
+
+
+@query(f"""WITH {IMPORT_CTE},
+t AS (SELECT 'Kategorie' AS kind, category AS name, pos, title FROM posts UNION ALL SELECT 'Autor', author, pos, title FROM posts WHERE author <> ''),
+b AS (SELECT name, kind, '<!-- imported-start -->' || chr(10) || chr(10) || '## ' || name || ' · ' || count(*) || ' Beiträge' || chr(10) || chr(10)
+  || string_agg('- [[' || CASE WHEN trim(title) = '' THEN 'Untitled' ELSE regexp_replace(trim(title), '[/\\\\:*?"<>|]', '-', 'g') END || ']]', chr(10) ORDER BY pos) || chr(10) || chr(10) || '<!-- imported-end -->' AS block FROM t GROUP BY name, kind),
+k AS (SELECT name, arg_max(block, kind) AS block FROM b GROUP BY name),
+s AS (SELECT pos, category, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE trim(regexp_replace(trim(title), '[/\\\\:*?"<>|]', '-', 'g')) END AS stem FROM posts),
+n AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY pos) AS n FROM s)
+SELECT 'Blog/' || CASE WHEN category = '' THEN '' ELSE category || '/' END || CASE WHEN n = 1 THEN stem ELSE stem || ' ' || n END || '.md' AS path, 'write' AS action, '' AS content FROM n
+UNION ALL SELECT 'Blog/' || name || '.md', 'write', '' FROM b WHERE length(name) % 3 = 2
+UNION ALL SELECT v.path, 'block', CASE WHEN starts_with(v.path, 'mine/') THEN '# About ' || name || chr(10) || 'own words' || chr(10) || chr(10) || block || chr(10)
+  ELSE '# ' || upper(name) || chr(10) || block || chr(10) || 'after' END FROM vault v JOIN k ON v.path IN ('mine/' || name || '.md', 'people/P ' || name || '.md') WHERE NOT made
+UNION ALL SELECT path, 'delete', '' FROM vault JOIN hubs ON path = 'Old/' || name || '.md' WHERE made AND length(name) % 3 < 2""")
+def import_into_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import into a vault that has notes of its own and notes of an earlier import."""
+    posts = derived.posts(spark, sf_dir)
+    done = importing.import_into(_vault_of_hubs(posts), posts, "Blog")
+    return done.select("path", "action", F.when(F.col("action") == "block", F.col("content")).otherwise("").alias("content"))
+
+
+@query(f"""WITH {IMPORT_CTE}
+SELECT DISTINCT author AS name, CASE length(author) % 3 WHEN 0 THEN 'mine/' || author || '.md' WHEN 1 THEN 'people/P ' || author || '.md' ELSE 'Blog/' || author || '.md' END AS path, length(author) % 3 < 2 AS merged
+FROM posts WHERE author <> ''""")
+def import_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = derived.posts(spark, sf_dir)
+    return importing.import_report(_vault_of_hubs(posts), posts, "Blog")
+
+
 # --- scalar functions ------------------------------------------------------
 
 
@@ -665,5 +710,24 @@ def upsert_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions after two steps of the force layout."""
     notes = derived.notes(spark, sf_dir)
-    nodes = graph.nodes(notes).select("path").withColumn("i", F.row_number().over(Window.orderBy("path")) - 1)
+    nodes = rewrite.numbered(graph.nodes(notes).select("path"), "path", "i")
     return folders.layout(nodes, graph.pairs(notes), 2)
+
+
+@query(r"""SELECT page_id, url NOT LIKE '%..%' AND NOT regexp_matches(url, '^[/\\]|^[A-Za-z]:') AS inside,
+CASE WHEN regexp_matches(url, '^https?://') THEN rtrim(url, '/') END AS base, regexp_extract(url, '([^/]*)$', 1) AS name,
+CASE WHEN regexp_matches(regexp_extract(url, '([^/]*)$', 1), '(?s)^.+\.[^.]*$') THEN regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\.([^.]*)$', 1) ELSE '' END AS ext,
+regexp_extract(url, '([^/]*)$', 1) <> '' AND NOT starts_with(regexp_extract(url, '([^/]*)$', 1), '.') AND regexp_extract(url, '([^/]*)$', 1) NOT LIKE '%..%' AS plain FROM pages""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks on paths and names, over the addresses of all pages."""
+    name = F.regexp_extract("url", r"([^/]*)$", 1)
+    pages = derived.table(spark, sf_dir, "pages")
+    return pages.select("page_id", nm.stays_inside("url").alias("inside"), nm.normal_base("url").alias("base"), name.alias("name"), nm.split_extension(name)["ext"].alias("ext"), nm.plain_file_name(name).alias("plain"))
+
+
+@query(f"""WITH {B} SELECT path, 'Doc ' || doc_id AS title FROM b WHERE doc_id % 5 = 0""")
+def dangling_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that link to some note which is not there."""
+    notes = derived.notes(spark, sf_dir)
+    lost = graph.resolved(notes).where("dst is null").select(F.col("src").alias("path")).distinct()
+    return graph.meta(notes).join(lost, "path", "left_semi").select("path", "title")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions import markdown as md
 from .functions.names import stem
 from .lineage import cut
-from .operators import folders, graph, rewrite, search
+from .operators import folders, graph, importing, rewrite, search
 from .operators.history import diff_rows
 from .plans import dql
 from .sources.vault import VaultSource, inside
@@ -197,6 +197,18 @@ class Vault:
             os.replace(held, os.path.join(self.history, r.path))
         return changed.count()
 
+    def import_posts(self, posts: DataFrame, folder: str, author_override: str = "", author_note: str = "") -> dict[str, Any]:
+        """Bring posts into the vault: notes and hubs written, lists put into notes of one's own, superseded notes deleted."""
+        self._ensure_write()
+        report = importing.import_report(self.notes(), posts, folder, author_override, author_note).orderBy("name").collect()
+        done = cut(importing.import_into(self.notes(), posts, folder, author_override, author_note))
+        self.write(done.where("action <> 'delete'"))
+        for r in done.where("action = 'delete'").select("path").collect():
+            os.remove(inside(self.root, r.path))
+        counts = {r.action: r["count"] for r in done.groupBy("action").count().collect()}
+        lines = lambda merged: [f"{r['name']} → {r.path}" for r in report if r.merged == merged]
+        return {"notes": counts.get("write", 0), "authors": [r["name"] for r in report], "merged": lines(True), "created": lines(False)}
+
     def delete_note(self, path: str) -> list[str]:
         """Delete a note; the notes whose links break by it."""
         self._ensure_write()

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from inkspark.operators.importing import pages_of_posts
 from inkspark.sources.vault import VaultSource, save_asset
 from inkspark.streaming.notes import keep_table, last_writes, notes_stream, path_set_key, throttled_stream
 from inkspark.vault import Endpoint, ReadOnly, Vault
@@ -78,6 +79,37 @@ def test_more_calls(spark, root):
     assert nodes.count() >= 4 and edges.count() >= 2
 
 
+def test_import(spark, root):
+    vault = Vault(spark, root)
+    vault.write_note("me.md", "# Ann Lee\nabout me")
+    vault.write_note("Blog/Ann Lee.md", "---\nsource: import\n---\n\n# Ann Lee")
+    row = [(0, "First", "https://x/1", "", "Ann Lee", 1, "<p>hi</p>", ["News"], [])]
+    posts = spark.createDataFrame(row, "pos long, title string, link string, date string, author string, author_id long, content_html string, categories array<string>, tags array<string>")
+    for _ in range(2):  # a second run changes nothing
+        done = vault.import_posts(posts, "Blog")
+        assert done == {"notes": 2, "authors": ["Ann Lee"], "merged": ["Ann Lee → me.md"], "created": []}
+        assert vault.read_note("me.md").count("## Ann Lee · 1 Beiträge") == 1 and not os.path.exists(f"{root}/Blog/Ann Lee.md")
+    assert "*von [[me]]*" in vault.read_note("Blog/News/First.md")
+    other = vault.import_posts(posts, "Blog", author_override="Bo", author_note="A.md")
+    assert other["merged"] == ["Bo → A.md"] and "## Bo · 1 Beiträge" in vault.read_note("A.md")
+
+
+def test_pages_of_posts():
+    asked = []
+
+    def site(sizes):
+        def fetch(url):
+            asked.append(url)
+            n = len(asked) - 1
+            return json.dumps([{"id": i} for i in range(sizes[n])]) if n < len(sizes) else None
+
+        return fetch
+
+    for sizes, total, calls in (([3, 3, 2], 8, 3), ([3, 0], 3, 2), ([3], 3, 2), ([3] * 60, 150, 50)):
+        asked.clear()
+        assert len(pages_of_posts(site(sizes), "https://x", size=3)) == total and len(asked) == calls
+
+
 def test_endpoint(spark, root):
     end = Endpoint(Vault(spark, root, allow_write=False))
     assert json.loads(end.answer("{"))["error"]["code"] == -32700
