@@ -105,7 +105,7 @@ t AS (
 g AS (SELECT path, string_agg(DISTINCT lower(tag), '|' ORDER BY lower(tag)) AS tags FROM t GROUP BY path)
 SELECT b.path, 'Doc ' || doc_id AS title, g.tags,
   array_to_string(list_sort(list_filter([
-    CASE WHEN doc_id % 4 = 0 THEN 'ai_client=' || CASE WHEN doc_id % 8 = 0 THEN 'codex' ELSE 'claude' END END,
+    CASE WHEN doc_id % 4 = 0 THEN 'ai_client=' || CASE WHEN doc_id % 8 = 0 THEN 'scribe' ELSE 'drafter' END END,
     CASE WHEN doc_id % 4 = 0 THEN 'author=ai' END,
     'file.link=[[Doc ' || doc_id || ']]', 'file.name=Doc ' || doc_id, 'file.path=' || b.path, 'n_chars=' || n_chars,
     'quality=' || quality, 'source=' || source, 'tags=doc, lang/' || lang, 'title=Doc ' || doc_id, 'toxic=' || toxic], lambda x: x IS NOT NULL)), '|') AS fields
@@ -119,7 +119,7 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B} SELECT path, 'Doc ' || doc_id AS title, doc_id % 4 = 0 AS ai_authored,
-CASE WHEN doc_id % 8 = 0 THEN 'codex' WHEN doc_id % 4 = 0 THEN 'claude' END AS ai_client, modified FROM b""")
+CASE WHEN doc_id % 8 = 0 THEN 'scribe' WHEN doc_id % 4 = 0 THEN 'drafter' END AS ai_client, modified FROM b""")
 def note_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.meta(derived.notes(spark, sf_dir)).orderBy(F.lower("title"), "path")
 
@@ -171,7 +171,7 @@ DEGREE = "degree AS (SELECT path, count(*) AS degree FROM (SELECT source AS path
 
 @query(with_links(f""", {DEGREE},
 all_nodes AS (
-  SELECT path, 'Doc ' || doc_id AS title, doc_id % 4 = 0 AS ai_authored, CASE WHEN doc_id % 8 = 0 THEN 'codex' WHEN doc_id % 4 = 0 THEN 'claude' END AS ai_client, false AS missing FROM notes
+  SELECT path, 'Doc ' || doc_id AS title, doc_id % 4 = 0 AS ai_authored, CASE WHEN doc_id % 8 = 0 THEN 'scribe' WHEN doc_id % 4 = 0 THEN 'drafter' END AS ai_client, false AS missing FROM notes
   UNION ALL SELECT DISTINCT 'missing:' || name, target, false, NULL, true FROM resolved WHERE dst IS NULL)
 SELECT n.*, coalesce(d.degree, 0) AS degree FROM all_nodes n LEFT JOIN degree d USING (path)"""))
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +447,7 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.listing(derived.notes(spark, sf_dir), "DE/Src3", recursive=False).select("path")
 
 
-@query(f"""WITH {B} SELECT path, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 8 = 0 THEN 'codex' ELSE 'claude' END AS client, modified FROM b WHERE doc_id % 4 = 0""")
+@query(f"""WITH {B} SELECT path, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 8 = 0 THEN 'scribe' ELSE 'drafter' END AS client, modified FROM b WHERE doc_id % 4 = 0""")
 def ai_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.ai_review(derived.notes(spark, sf_dir))
 
@@ -604,9 +604,9 @@ def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", nm.match_key("p_name").alias("key"), nm.basic_auth("p_name", "p_brand").alias("auth"), nm.link_markup("p_name", shown).alias("markup"))
 
 
-@query(with_notes("""SELECT path, '---' || chr(10) || 'tags' || regexp_replace(regexp_replace(substr(content, 9), '(?m)^(author|ai_client):.*\\n', '', 'g'), '\\n---\\n', chr(10) || 'author: ai' || chr(10) || 'ai_client: codex' || chr(10) || '---' || chr(10)) AS content FROM notes"""))
+@query(with_notes("""SELECT path, '---' || chr(10) || 'tags' || regexp_replace(regexp_replace(substr(content, 9), '(?m)^(author|ai_client):.*\\n', '', 'g'), '\\n---\\n', chr(10) || 'author: ai' || chr(10) || 'ai_client: scribe' || chr(10) || '---' || chr(10)) AS content FROM notes"""))
 def ai_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.notes(spark, sf_dir).select("path", md.ai_stamp("content", "codex").alias("content"))
+    return derived.notes(spark, sf_dir).select("path", md.ai_stamp("content", "scribe").alias("content"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, '- ' || strftime(ts, '%H:%M') || ' ' || event_type AS line,

@@ -13,7 +13,7 @@ PATH = "lang || '/' || source || '/Doc ' || CAST(doc_id AS STRING) || '.md'"
 CONTENT = r"""
 '---' || chr(10) || 'tags: [doc, lang/' || lang || ']' || chr(10) || 'n_chars: ' || CAST(n_chars AS STRING) || chr(10)
 || CASE WHEN quality IS NULL THEN '' ELSE 'quality: ' || CAST(quality AS STRING) || chr(10) || 'toxic: ' || CAST(toxic AS STRING) || chr(10) END
-|| CASE WHEN doc_id % 4 = 0 THEN 'author: ai' || chr(10) || 'ai_client: ' || CASE WHEN doc_id % 8 = 0 THEN 'codex' ELSE 'claude' END || chr(10) ELSE '' END
+|| CASE WHEN doc_id % 4 = 0 THEN 'author: ai' || chr(10) || 'ai_client: ' || CASE WHEN doc_id % 8 = 0 THEN 'scribe' ELSE 'drafter' END || chr(10) ELSE '' END
 || '---' || chr(10) || '# Doc ' || CAST(doc_id AS STRING) || chr(10) || chr(10) || text || chr(10) || chr(10)
 || 'Source:: ' || source || chr(10)
 || 'See [[Doc ' || CAST((doc_id * 7 + 3) % n_all AS STRING) || ']] and [[doc ' || CAST((doc_id * 13 + 5) % n_all AS STRING) || '|see]]'

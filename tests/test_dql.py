@@ -5,7 +5,7 @@ import pytest
 from inkspark.plans import dql
 
 BOOKS = (
-    ("books/Dune.md", "---\ntags: [book]\nrating: 9\n---\n# Dune\nAuthor:: Frank Herbert\n"),
+    ("books/Moor.md", "---\ntags: [book]\nrating: 9\n---\n# Moor\nAuthor:: Ada Quill\n"),
     ("books/Emma.md", "---\ntags: [book, classic]\nrating: 7\n---\n# Emma\nAuthor:: Jane Austen\n"),
     ("inbox/Shopping.md", "# Shopping\nmilk #todo/home\n"),
 )
@@ -23,14 +23,14 @@ def items(result):
 def test_table_with_labels(notes):
     r = dql.run(notes(*BOOKS), 'TABLE rating AS "Stars", author FROM #book WHERE rating >= 8')
     assert r.columns == ["Stars", "author"]
-    assert table(r) == [["9", "Frank Herbert"]]
+    assert table(r) == [["9", "Ada Quill"]]
 
 
 def test_list_folder_and_field(notes):
     frame = notes(*BOOKS)
-    assert sorted(items(dql.run(frame, 'LIST FROM "books"'))) == ["[[Dune]]", "[[Emma]]"]
+    assert sorted(items(dql.run(frame, 'LIST FROM "books"'))) == ["[[Emma]]", "[[Moor]]"]
     assert items(dql.run(frame, "LIST author WHERE rating < 8 SORT rating")) == ["[[Shopping]]", "Jane Austen"]
-    assert items(dql.run(frame, "LIST author WHERE rating = 9")) == ["Frank Herbert"]
+    assert items(dql.run(frame, "LIST author WHERE rating = 9")) == ["Ada Quill"]
 
 
 def test_nested_tag(notes):
@@ -48,8 +48,8 @@ def test_sort_and_limit(notes):
 
 
 def test_non_ascii(notes):
-    frame = notes(("bücher/Faust.md", "---\nqualität: 10\n---\n"))
-    assert table(dql.run(frame, 'TABLE qualität FROM "bücher" WHERE qualität > 9')) == [["10"]]
+    frame = notes(("möbel/Faust.md", "---\ngröße: 10\n---\n"))
+    assert table(dql.run(frame, 'TABLE größe FROM "möbel" WHERE größe > 9')) == [["10"]]
 
 
 def test_computed_fields_cannot_be_overridden(notes):

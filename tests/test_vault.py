@@ -43,8 +43,8 @@ def test_write(spark, root):
 
 def test_calls(spark, root):
     vault = Vault(spark, root)
-    assert vault.create_note("sub", "B", "x", "codex", ai=True) == "sub/B 2.md"
-    assert vault.read_note("sub/B 2.md").startswith("---\nauthor: ai\nai_client: codex\n")
+    assert vault.create_note("sub", "B", "x", "scribe", ai=True) == "sub/B 2.md"
+    assert vault.read_note("sub/B 2.md").startswith("---\nauthor: ai\nai_client: scribe\n")
     assert vault.rename_note("sub/B.md", "Bee") == ("sub/Bee.md", 1)
     assert vault.read_note("A.md") == "# Alpha\n[[Bee]] bee" and not os.path.exists(f"{root}/sub/B.md")
     assert vault.link_mentions("sub/Bee.md", "A") == 1 and vault.read_note("sub/Bee.md") == "see [[A]] today"
@@ -64,7 +64,7 @@ def test_more_calls(spark, root):
     vault = Vault(spark, root)
     assert vault.move_note("sub/B.md", "deep/er") == "deep/er/B.md" and vault.move_note("deep/er/B.md", "") == "B.md"
     assert [r.target for r in vault.outgoing("A.md").collect()] == ["b"] and vault.mentions("B.md").count() == 0
-    assert vault.update_note("B.md", "[[a]]", "codex")["resolved"] == ["a"] and "author: ai" in vault.read_note("B.md")
+    assert vault.update_note("B.md", "[[a]]", "scribe")["resolved"] == ["a"] and "author: ai" in vault.read_note("B.md")
     assert vault.replace("Alpha", "Omega") == 1 and "Omega" in vault.read_note("A.md")
     vault.write_note("foo1.md", "first")
     vault.write_note("foo.md", "second")
