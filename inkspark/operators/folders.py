@@ -47,6 +47,11 @@ def listing(notes: DataFrame, name: str, recursive: bool) -> DataFrame:
     return notes.where(inside & (F.lit(recursive) | ~F.substr(low, F.lit(len(prefix) + 2)).contains("/")))
 
 
+def templates(notes: DataFrame, name: str) -> DataFrame:
+    """Notes below the folder of templates; none where no folder is set."""
+    return notes.where(F.col("path").startswith(name.strip() + "/") if name.strip() else F.lit(False))
+
+
 def ai_review(notes: DataFrame) -> DataFrame:
     """Notes an assistant wrote, newest first."""
     rows = notes.select("path", md.title("path", "content").alias("title"), md.is_ai("content").alias("ai"), md.ai_client("content").alias("client"), "modified")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.names import stem
+from ..functions.names import c, quoted, stem
 from .graph import backlinks, resolved
 
 
@@ -47,6 +47,22 @@ def search(notes: DataFrame, text: str) -> DataFrame:
     return titled.where(F.col("title").rlike(pattern) | F.col("content").rlike(pattern)).select("path", "title", md.regex_snippet("content", pattern).alias("snippet"))
 
 
+def highlighted(text: Column | str, sought: str) -> Column:
+    """array<struct(text, hit)>: a text in parts, those that a search found marked; a blank search marks nothing.
+
+    Literals are found in any case. What stands between the hits is what a
+    split at them leaves, so parts and hits alternate; empty ones are left out.
+    """
+    kind, needle = classify(sought) or ("none", "")
+    whole = F.array(F.struct(c(text).alias("text"), F.lit(False).alias("hit")))
+    if kind == "none":
+        return whole
+    pattern = F.lit("(?U)" + needle if kind == "regex" else "(?iu)" + quoted(needle))
+    between = F.transform(F.split(c(text), pattern, -1), lambda x: F.struct(x.alias("text"), F.lit(False).alias("hit")))
+    hits = F.transform(F.regexp_extract_all(c(text), pattern, F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit(True).alias("hit")))
+    return F.filter(F.flatten(F.zip_with(between, hits, lambda a, b: F.array(a, b))), lambda p: p.isNotNull() & (p["text"] != ""))
+
+
 def unlinked_mentions(notes: DataFrame, path: str, name: str) -> DataFrame:
     """Notes that name ``name`` without linking to it: path, title, snippet, count."""
     if len(name) < 3:

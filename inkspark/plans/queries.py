@@ -731,3 +731,16 @@ def dangling_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = derived.notes(spark, sf_dir)
     lost = graph.resolved(notes).where("dst is null").select(F.col("src").alias("path")).distinct()
     return graph.meta(notes).join(lost, "path", "left_semi").select("path", "title")
+
+
+@query("SELECT p_partkey, replace(p_name, 'e', '[e]') AS marked, len(string_split(p_name, 'e')) - 1 AS hits FROM part")
+def highlighted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in parts, with what a search for a letter found in brackets."""
+    parts = derived.table(spark, sf_dir, "part").select("p_partkey", search.highlighted("p_name", " E ").alias("parts"))
+    shown = F.array_join(F.transform("parts", lambda p: F.when(p["hit"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+    return parts.select("p_partkey", shown.alias("marked"), F.size(F.filter("parts", lambda p: p["hit"])).cast("long").alias("hits"))
+
+
+@query(with_notes("SELECT path FROM notes WHERE starts_with(path, 'de/src3/')"))
+def template_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folders.templates(derived.notes(spark, sf_dir), " de/src3 ").select("path")

@@ -48,6 +48,16 @@ def test_search(notes):
     assert search.classify("/a\\/b/x") == ("literal", "/a\\/b/x")
 
 
+def test_highlighting_and_templates(spark, notes):
+    rows = spark.createDataFrame([("Tea, TEA and teapot",), ("none",), ("a.b",)], "t string")
+    parts = lambda sought: [[tuple(p) for p in r.p] for r in rows.select(search.highlighted("t", sought).alias("p")).collect()]
+    assert parts("tea")[0] == [("Tea", True), (", ", False), ("TEA", True), (" and ", False), ("tea", True), ("pot", False)]
+    assert parts("/[A-Z]{3}/")[0] == [("Tea, ", False), ("TEA", True), (" and teapot", False)]
+    assert parts(".")[2] == [("a", False), (".", True), ("b", False)] and parts("  ")[1] == [("none", False)]
+    frame = notes(("T/a.md", ""), ("T.md", ""), ("x/T/b.md", ""))
+    assert [r.path for r in folders.templates(frame, "T").collect()] == ["T/a.md"] and folders.templates(frame, " ").count() == 0
+
+
 def test_related_and_candidates(spark, notes):
     frame = notes(("Sourdough.md", "# Sourdough\nstarter flour water bread"), ("Rye.md", "rye bread flour oven"), ("Tax.md", "forms [[Sourdough]] income"))
     rows = search.related(frame, "Sourdough.md").collect()
