@@ -6,11 +6,13 @@ when the vault is opened for reading only.
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 import shutil
 import time
-from typing import Any
+from collections.abc import Callable, Iterable
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,9 +271,24 @@ class Vault:
         self.write_note(path, text)
 
 
+def schema_of(tool: Callable) -> dict[str, Any]:
+    """JSON schema of a tool's arguments, from its signature: those without a default are required."""
+    kinds = {bool: "boolean", int: "integer"}
+    args = inspect.signature(tool).parameters.values()
+    shown = {a.name: {"type": kinds.get(type(a.default), "string")} for a in args}
+    return {"type": "object", "properties": shown, "required": [a.name for a in args if a.default is a.empty]}
+
+
 class Endpoint:
     """JSON-RPC requests, one to a line, over a vault."""
 
+    def serve(self, requests: Iterable[str], out: TextIO) -> None:
+        """Answer lines until there are no more; blank ones are passed over."""
+        for line in requests:
+            if line.strip() and (answer := self.answer(line)) is not None:
+                out.write(answer + "\n")
+                out.flush()
+
     def __init__(self, vault: Vault):
         rows = lambda frame: [r.asDict() for r in frame.collect()]
         self.tools = {
@@ -308,7 +325,7 @@ class Endpoint:
             case "ping":
                 result = {}
             case "tools/list":
-                result = {"tools": [{"name": n} for n in self.tools]}
+                result = {"tools": [{"name": n, "inputSchema": schema_of(f)} for n, f in self.tools.items()]}
             case "tools/call":
                 params = request.get("params", {})
                 try:

@@ -1,5 +1,6 @@
 """The folder source, the stream over it, and the vault's calls."""
 
+import io
 import json
 import os
 
@@ -116,6 +117,11 @@ def test_endpoint(spark, root):
     assert json.loads(end.answer('{"id": 1, "method": "no"}'))["error"]["code"] == -32601
     assert end.answer('{"method": "ping"}') is None
     assert len(json.loads(end.answer('{"id": 1, "method": "tools/list"}'))["result"]["tools"]) == 17
+    tools = {t["name"]: t["inputSchema"] for t in json.loads(end.answer('{"id": 1, "method": "tools/list"}'))["result"]["tools"]}
+    assert tools["related_notes"] == {"type": "object", "properties": {"path": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["path"]}
+    out = io.StringIO()
+    end.serve(['{"id": 7, "method": "ping"}\n', "\n", '{"method": "ping"}\n', "{\n"], out)
+    assert [json.loads(x)["id"] for x in out.getvalue().splitlines()] == [7, None]
     call = {"id": 2, "method": "tools/call", "params": {"name": "read_note", "arguments": {"path": "A.md"}}}
     assert "Alpha" in json.loads(end.answer(json.dumps(call)))["result"]["content"][0]["text"]
     call["params"] = {"name": "create_folder", "arguments": {"name": "z"}}
