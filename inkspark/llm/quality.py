@@ -110,28 +110,36 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vectors:
-    """Vectors of the rows that occur; all others share the zero vector at place 0."""
+    """Vectors of the rows that occur, as whole numbers up to 127 times a scale; all others share the zero vector at place 0."""
 
     place: np.ndarray
     table: np.ndarray
+    scale: np.ndarray
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
-        return self.table[self.place[rows]]
+        at = self.place[rows]
+        return self.table[at] * self.scale[at, None]
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
     """Word and shape vectors over all of ``docs``."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).coalesce(TASKS)
-    sums = texts.mapInArrow(_contexts, SUMS).groupBy("row").agg(*[F.sum(f"d{i}").cast("float").alias(f"d{i}") for i in range(DIMS)]).toArrow()  # at most a row for each row of the table
+    sums = texts.mapInArrow(_contexts, SUMS).groupBy("row").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(DIMS)])
+    largest = F.greatest(*[F.abs(f"d{i}") for i in range(DIMS)], F.lit(1e-9))
+    length = F.sqrt(sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(1, DIMS)), F.col("d0") * F.col("d0")))
+    unit = sums.withColumns({"largest": largest, "length": F.greatest(length, F.lit(1e-9))}).select(
+        "row", (F.col("largest") / F.col("length") / 127).cast("float").alias("scale"), *[F.round(F.col(f"d{i}") * 127 / F.col("largest")).cast("byte").alias(f"d{i}") for i in range(DIMS)]
+    )
+    found = unit.toArrow()  # at most a row of 40 bytes for each row of the table
     place = np.zeros(len(_INDEX), np.int32)
-    table = np.zeros((sums.num_rows + 1, DIMS), np.float32)
-    rows = sums.column("row").to_numpy()
+    table, scale = np.zeros((found.num_rows + 1, DIMS), np.int8), np.zeros(found.num_rows + 1, np.float32)
+    rows = found.column("row").to_numpy()
     order = np.argsort(rows)
     place[rows[order]] = np.arange(1, len(rows) + 1)
+    scale[1:] = found.column("scale").to_numpy()[order]
     for i in range(DIMS):
-        table[1:, i] = sums.column(f"d{i}").to_numpy()[order]
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    return Vectors(place, table)
+        table[1:, i] = found.column(f"d{i}").to_numpy()[order]
+    return Vectors(place, table, scale)
 
 
 def features(vectors: Vectors, w: Words) -> np.ndarray:
@@ -228,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.first, w.count), batch.column("label").slice(w.first, w.count), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     rows = sorted((r.doc_id, r.label, r.x) for r in chosen.mapInArrow(pooled, "doc_id long, label int, x binary").collect())
+    shared.destroy()
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(rows))
     x = np.array([np.frombuffer(rows[i][2], np.float32) for i in order]).reshape(len(rows), WIDTH)
     return Model(vectors, train(x, np.array([rows[i][1] for i in order], int), sizes))
