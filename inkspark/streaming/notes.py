@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.rewrite import upsert
-from ..sources.vault import VaultSource
+from ..sources.vault import SCHEMA, VaultSource
 
 REFRESH = "4 seconds"
 
@@ -59,19 +59,50 @@ def last_writes(batch: DataFrame) -> DataFrame:
     return batch.groupBy("path").agg(F.max_by("content", F.struct("modified", "content")).alias("content"), F.max("modified").alias("modified"))
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Maintain a Parquet table of current notes: every batch is upserted as a new version.
-
-    Versions are folders named by the batch, so a batch that runs again writes
-    its own folder again and nothing else.
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete tables ``n=…`` below a folder, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path(folder))]
+    return sorted(int(n[2:]) for n in names if n.startswith("n=") and system.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def kept_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current notes of a table that ``keep_table`` maintains."""
+    whole = _numbers(spark, f"{path}/whole")
+    since = whole[-1] if whole else -1
+    changes = [n for n in _numbers(spark, f"{path}/changes") if n > since]
+    notes = spark.read.schema(SCHEMA).parquet(f"{path}/whole/n={since}") if whole else spark.createDataFrame([], SCHEMA)
+    if not changes:
+        return notes
+    rows = spark.read.schema(SCHEMA + ", n int").option("basePath", f"{path}/changes").parquet(*[f"{path}/changes/n={n}" for n in changes])
+    latest = rows.groupBy("path").agg(F.max_by(F.struct("content", "modified"), "n").alias("last")).select("path", "last.*")
+    return upsert(notes, latest) if whole else latest
+
+
+def keep_table(stream: DataFrame, path: str, checkpoint: str, every: int = 50) -> StreamingQuery:
+    """Maintain a table of current notes, read with ``kept_table``.
+
+    A batch writes only what it changes, in a folder with its number, so one
+    that runs again writes that folder again and nothing else. Each ``every``
+    batches the whole table is written, and what came before the whole table
+    before that goes: readers of the last one are not disturbed.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = last_writes(batch)
-        if number:
-            fresh = upsert(spark.read.parquet(f"{path}/v={number - 1}"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{path}/v={number}")
+        last_writes(batch).write.mode("overwrite").parquet(f"{path}/changes/n={number}")
+        if (number + 1) % every == 0:
+            before = _numbers(spark, f"{path}/whole")
+            if number not in before:
+                kept_table(spark, path).write.mode("overwrite").parquet(f"{path}/whole/n={number}")
+            for kind in ("whole", "changes"):
+                for n in _numbers(spark, f"{path}/{kind}"):
+                    if before and (n < before[-1] or kind == "changes" and n == before[-1]):
+                        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/n={n}")
+                        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

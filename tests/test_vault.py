@@ -8,7 +8,7 @@ import pytest
 
 from inkspark.operators.importing import pages_of_posts
 from inkspark.sources.vault import VaultSource, save_asset
-from inkspark.streaming.notes import keep_table, last_writes, notes_stream, path_set_key, throttled_stream
+from inkspark.streaming.notes import keep_table, kept_table, last_writes, notes_stream, path_set_key, throttled_stream
 from inkspark.vault import Endpoint, ReadOnly, Vault
 
 
@@ -130,14 +130,16 @@ def test_endpoint(spark, root):
 
 def test_stream(spark, root, tmp_path_factory):
     out, check = str(tmp_path_factory.mktemp("out")), str(tmp_path_factory.mktemp("check"))
-    keep_table(notes_stream(spark, root), out, check).awaitTermination()
-    assert spark.read.parquet(f"{out}/v=0").count() == 5
-    with open(f"{root}/A.md", "w") as f:
-        f.write("changed")
-    os.utime(f"{root}/A.md", (2e9, 2e9))
-    keep_table(notes_stream(spark, root), out, check).awaitTermination()
-    now = {r.path: r.content for r in spark.read.parquet(f"{out}/v=1").collect()}
-    assert len(now) == 5 and now["A.md"] == "changed"
+    for turn in range(5):
+        if turn:
+            with open(f"{root}/A.md", "w") as f:
+                f.write(f"changed {turn}")
+            os.utime(f"{root}/A.md", (2e9 + turn, 2e9 + turn))
+        keep_table(notes_stream(spark, root), out, check, every=2).awaitTermination()
+        now = {r.path: r.content for r in kept_table(spark, out).collect()}
+        assert len(now) == 5 and (not turn or now["A.md"] == f"changed {turn}")
+    assert sorted(os.listdir(f"{out}/whole")) == ["n=1", "n=3"] and sorted(os.listdir(f"{out}/changes")) == ["n=2", "n=3", "n=4"]
+    assert spark.read.parquet(f"{out}/changes/n=4").count() == 1
 
 
 def test_throttle_stream(spark, tmp_path):
