@@ -5,7 +5,9 @@ letters, capitals and digits as one sign each, all else as it stands). Forms
 are hashed to a fixed number of rows; each row has a sparse ternary index
 vector. Over all documents, a form's context vector gathers the index vectors
 of the words around it, and is scaled to length one; a task sums over what it
-reads, and Spark over tasks. A document is the mean of its words' vectors, the
+reads, and Spark over tasks. The table holds bytes and a scale for each row
+(10 MB in all): a vector whose sums are up to 127 is exact, any other is within
+1/254 of its largest component. A document is the mean of its words' vectors, the
 mean of its shapes' vectors, the mean product of neighbouring vectors of either
 kind, and the logarithm of its length. A two-layer network in numpy turns that
 into a logit, whose temperature is set on a fifth of the sample that training
@@ -110,7 +112,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vectors:
-    """Vectors of the rows that occur, as whole numbers up to 127 times a scale; all others share the zero vector at place 0."""
+    """Vectors of the rows that occur, whole numbers up to 127 times a scale; all others share the zero vector at place 0."""
 
     place: np.ndarray
     table: np.ndarray
@@ -125,10 +127,11 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
     """Word and shape vectors over all of ``docs``."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).coalesce(TASKS)
     sums = texts.mapInArrow(_contexts, SUMS).groupBy("row").agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(DIMS)])
-    largest = F.greatest(*[F.abs(f"d{i}") for i in range(DIMS)], F.lit(1e-9))
+    largest = F.greatest(*[F.abs(f"d{i}") for i in range(DIMS)])
     length = F.sqrt(sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(1, DIMS)), F.col("d0") * F.col("d0")))
-    unit = sums.withColumns({"largest": largest, "length": F.greatest(length, F.lit(1e-9))}).select(
-        "row", (F.col("largest") / F.col("length") / 127).cast("float").alias("scale"), *[F.round(F.col(f"d{i}") * 127 / F.col("largest")).cast("byte").alias(f"d{i}") for i in range(DIMS)]
+    # sums of up to 127 stay as they are
+    unit = sums.withColumns({"step": F.greatest(largest / 127, F.lit(1.0)), "length": F.greatest(length, F.lit(1e-9))}).select(
+        "row", (F.col("step") / F.col("length")).cast("float").alias("scale"), *[F.round(F.col(f"d{i}") / F.col("step")).cast("byte").alias(f"d{i}") for i in range(DIMS)]
     )
     found = unit.toArrow()  # at most a row of 40 bytes for each row of the table
     place = np.zeros(len(_INDEX), np.int32)

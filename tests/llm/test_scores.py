@@ -38,6 +38,21 @@ def test_context_vectors(spark):
     assert not got[unknown].any()
 
 
+def test_context_vectors_of_frequent_words(spark):
+    """Sums beyond 127 are rounded to a step of 1/127 of the largest."""
+    text = " ".join(["red fox runs"] * 3000)
+    got = quality.context_vectors(spark.createDataFrame([(text,)] * 3, "text string"))
+    plain, shapes = (p.astype(int) for p in quality.forms(next(words(pa.array([text])))))
+    own = quality._INDEX[plain].astype(float) + quality._INDEX[shapes]
+    for row in set(plain.tolist()):
+        v = np.zeros(quality.DIMS)
+        for i in np.flatnonzero(plain == row):
+            v += own[max(0, i - 2) : i + 3].sum(0) - own[i]
+        v *= 3
+        assert np.abs(v).max() > 127
+        assert np.abs(got[np.array([row])][0] - v / np.linalg.norm(v)).max() <= np.abs(v).max() / np.linalg.norm(v) / 254 + 1e-6
+
+
 def test_quality_scores_by_hand(tables, spark):
     docs, labels = tables
     model = quality.fit(docs, labels)
