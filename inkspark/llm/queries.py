@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, linedup, packing, quality, rules, shards, toxicity, warc
+from . import align, ann, bpe, extract, jaccard, linedup, merkle, packing, quality, rules, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, pattern = vocabulary("byte_bpe_50k.json")
+    found = align.alignment(table(spark, sf_dir, "documents"), path_a, vocabulary("piece_bpe_32k.model")[0], pattern, kind="end")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_fractal_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.without_breaks(2))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"), extract.fit(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_noisy_channel,
         op9_robust_rules,
         op10_line_spread,
+        op11_elementary_intervals,
+        op12_fractal_manifest,
+        op13_crf_extraction,
     )
 }
 
@@ -112,4 +130,20 @@ least AS (SELECT r.a AS k, min(k.doc_id) AS least FROM reach r JOIN k ON k.k = r
 SELECT k.doc_id, k.n AS n_shingles, coalesce(least.least, k.doc_id) AS component_id FROM k LEFT JOIN least ON least.k = k.k
 """
 
-ORACLES: dict[str, str] = {"op3_warc_merge": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op10_line_spread": linedup.ORACLE_SQL}
+# What the model should find in the pages of these tables, whose article is an element of that name.
+OP13_SQL = r"""
+WITH b AS (
+  SELECT page_id, url, list_filter(list_transform(
+    string_split_regex(regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks
+  FROM pages)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM b
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_merge": OP3_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
+    "op10_line_spread": linedup.ORACLE_SQL,
+    "op12_fractal_manifest": merkle.ORACLE_SQL,
+    "op13_crf_extraction": OP13_SQL,
+}

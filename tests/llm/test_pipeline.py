@@ -48,5 +48,5 @@ def test_awkward_rows(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
