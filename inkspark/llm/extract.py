@@ -344,10 +344,15 @@ def labelled(prose: list[str], pages: int, seed: int = 13) -> list[list[tuple[Bl
 def fit(docs: DataFrame, pages: int = 800, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model trained on ``pages`` composed pages, whose prose is from at most ``sample`` documents of 200 to 4,000 characters.
 
-    The documents are those whose ids have the least hashes, so the choice does not depend on partitioning.
+    The documents are those whose ids have the least hashes, so the choice does
+    not depend on partitioning; a threshold from their number leaves little more
+    than the sample to be sent to the driver.
     """
     text = F.col(text_col).cast("string")
-    chosen = docs.where(F.length(text).between(200, 4000)).select(F.col(id_col).cast("string").alias("id"), text.alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(sample)
+    fitting = docs.where(F.length(text).between(200, 4000)).select(F.col(id_col).cast("string").alias("id"), text.alias("text"))
+    count = fitting.count()
+    few = fitting.where(F.coalesce(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), F.lit(0)) <= min(1 << 40, 3 * sample * (1 << 40) // (2 * max(count, 1))))
+    chosen = few.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id", "text").limit(sample)
     return train(labelled([r.text for r in chosen.collect()], pages))
 
 

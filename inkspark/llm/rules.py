@@ -10,16 +10,19 @@ Base counts per text (null: no words), over words ``[^\\x20\\x09-\\x0D]+``:
 
 ``base_failed``: under 50 words, or over half of the words repeat.
 
-Verdict on the others: the counts become a vector of four transformed
-statistics; for each language and source a minimum-covariance-determinant
-estimate of mean and covariance is found, and a vector whose squared
-Mahalanobis distance exceeds ``cutoff`` is rejected. Concentration steps begin
-at ``STARTS`` and go on until no determinant falls any more; of the starts of a
-pool the one with the least determinant counts. A pool of n vectors is drawn
-towards its parent (a source to its language, a language to the corpus) as by
-``prior`` further vectors there, so a small one is judged mostly as its parent
-and a large one by itself. Variances have least values, which keeps the
-covariance regular where a statistic is nearly constant.
+Verdict on the others: each text becomes a vector of four statistics that all
+prose has some of, so that a pool's spread can be estimated: word length, the
+share of characters in words that are no letters, how fast new words come
+(Herdan's C), and the share of word pairs that come again. For each language and
+source a minimum-covariance-determinant estimate of mean and covariance is
+found, and a vector whose squared Mahalanobis distance exceeds ``cutoff`` is
+rejected. Concentration steps begin at ``STARTS`` and go on until no determinant
+falls any more; of the starts of a pool the one with the least determinant
+counts. A pool of n vectors is drawn towards its parent (a source to its
+language, a language to the corpus) as by ``prior`` further vectors there, so a
+small one is judged mostly as its parent and a large one by itself. ``GUARDS``
+keep the covariance of a pool of equal texts regular; they lie far below the
+spread of prose.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language or source is a value of its own; equal rows get equal verdicts;
@@ -46,13 +49,17 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = 4
-#: Least standard deviations of the transformed statistics, below which a spread is not believed.
-#: The last two lie a little over the spread of plain prose, most of which repeats nothing.
-FLOORS = (0.12, 0.15, 0.09, 0.09)
+#: Further counts that the vectors need.
+MORE = ("n_lines", "n_letters", "n_distinct", "n_pairs")
+#: Least standard deviations of the statistics: a quarter of those of prose or less, so estimates decide.
+GUARDS = (0.005, 0.01, 0.002, 0.015)
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the base counts of every whole text as columns named in ``STATS``, and ``n_lines``, its lines with a word.
+    """Add the base counts of every whole text as columns named in ``STATS``, and those in ``MORE``.
+
+    The latter are its lines with a word, its letters, its different words and
+    its different pairs of neighbouring words (by 64-bit hashes).
 
     Each step is a projection of its own, so that arrays are built once. The
     hash of a 3-word window shares a 64-bit integer with its position: the
@@ -69,7 +76,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOL)).cast("long"))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+        .withColumn("n_letters", F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long"))
+        .withColumn("n_distinct", F.size(F.array_distinct("_words")).cast("long"))
     )
+    pair = F.transform(F.sequence(F.lit(0), F.size("_words") - 2), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1)))
+    step = step.withColumn("n_pairs", F.when(F.col("n_words") >= 2, F.size(F.array_distinct(pair))).otherwise(0).cast("long"))
     step = step.withColumn("_keep", F.expr("shiftleft(-1L, length(bin(n_words)))")).drop("_text", "_lines")
     window = F.when(
         F.col("n_words") >= 3,
@@ -102,12 +113,12 @@ def base_failed() -> Column:
 
 def _vector() -> list[Column]:
     """Four statistics on scales on which plain prose is nearly normal."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
-        F.sqrt(F.col("n_symbols") / n),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.sqrt(F.col("n_repeat_words") / n),
+        F.log(chars / n),
+        F.log((F.col("word_chars") - F.col("n_letters")) / chars + 0.05),
+        F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(F.greatest(n, F.lit(2.0))),
+        F.sqrt(1 - F.col("n_pairs") / F.greatest(n - 1, F.lit(1.0))),
     ]
 
 
@@ -122,14 +133,14 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in y))
 
 
-def _floored() -> dict[str, Column]:
-    """Covariances whose variances are at least the floors."""
-    return {f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(DIMS)}
+def _guarded() -> dict[str, Column]:
+    """Covariances whose variances are at least the guards'."""
+    return {f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(GUARDS[i] ** 2)) for i in range(DIMS)}
 
 
 def _factored(groups: DataFrame) -> DataFrame:
-    """Add the Cholesky factors l_ij of the floored covariances c_ij, and the determinant's logarithm."""
-    groups = groups.withColumns(_floored())
+    """Add the Cholesky factors l_ij of the guarded covariances c_ij, and the determinant's logarithm."""
+    groups = groups.withColumns(_guarded())
     for i in range(DIMS):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -154,7 +165,7 @@ def _moments(rows: DataFrame, by: list[str], scale: float = 1.0) -> DataFrame:
 MAX_BROADCAST = 20_000
 #: Consistency factor of the 75 % subset of a 4-variate normal: 0.75 / F_6(q), q the 75 % point of chi-square with 4 degrees of freedom.
 CONSISTENCY = 1.5145
-#: Where concentration begins: medians and median deviations; all vectors' moments; medians, and deviations as large as the floors.
+#: Where concentration begins: medians and median deviations; all vectors' moments; medians, and deviations as large as the guards.
 STARTS = ("spread", "all", "middle")
 #: Least fall of a log determinant that counts as one, and most steps.
 FALL, STEPS = 1e-3, 12
@@ -214,19 +225,19 @@ def judge(
     source_col: str = "source",
     carry: list[str] | None = None,
     prior: float = 100.0,
-    cutoff: float = 23.513,
+    cutoff: float = 33.377,
 ) -> DataFrame:
     """Columns ``carry`` (all, if not given) with the base counts, ``base_failed`` and ``kept``.
 
-    ``cutoff`` is on the squared distance; 23.513 is the 99.99 % point of chi-square
-    with 4 degrees of freedom. Columns of ``docs`` named like a
+    ``cutoff`` is on the squared distance; 33.377 is the point of chi-square with 4 degrees
+    of freedom that one in a million exceeds: the tails of good texts (figures, addresses) are heavier than normal. Columns of ``docs`` named like a
     result column are replaced.
     """
     made = {*STATS, "base_failed", "kept"}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     names = {c: f"in_{i}" for i, c in enumerate(dict.fromkeys([*carry, text_col, lang_col, source_col]))}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    counted, _ = store(with_counts(rows, names[text_col]).select(*[names[c] for c in dict.fromkeys([*carry, lang_col, source_col])], *STATS, "n_lines"), "rules")
+    counted, _ = store(with_counts(rows, names[text_col]).select(*[names[c] for c in dict.fromkeys([*carry, lang_col, source_col])], *STATS, *MORE), "rules")
     counted = counted.withColumn("base_failed", base_failed())
     key = [F.coalesce(F.concat(F.lit("="), F.col(names[c]).cast("string")), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]
     each = counted.where("not base_failed").select(*key, *[F.round(x, 9).alias(f"x{i}") for i, x in enumerate(_vector())])
