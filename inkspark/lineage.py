@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads survive the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder's path below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown as md
 from ..functions.names import c, match_key, normal_link, slug, stem, trim_white
+from .rewrite import unique_stems
 
 # Named entities in the order in which they are decoded.
 ENTITIES = (
@@ -171,7 +172,7 @@ def import_into(notes: DataFrame, posts: DataFrame, folder: str, author_override
     known = _answering(notes, posts, author_note)
     made = notes_of(posts, folder, known).select("path", F.lit("write").alias("action"), "content")
     hub = hubs(posts, known).where("exists").withColumn("key", match_key("name")).join(known.select("key", "path"), "key")
-    last = hub.groupBy("path").agg(F.max_by(F.struct("name", "titles"), F.struct("kind", "name")).alias("h")).select("path", block_text("h.name", "h.titles").alias("block"))
+    last = hub.groupBy("path").agg(F.max_by(F.struct("name", "titles"), F.struct(_turn("kind"), "name")).alias("h")).select("path", block_text("h.name", "h.titles").alias("block"))
     merged = notes.join(last, "path").select("path", F.lit("block").alias("action"), "content", with_block("content", "block").alias("new"))
     merged = merged.where("new <> content").select("path", "action", F.col("new").alias("content"))
     old = notes.where(md.is_imported("content")).withColumn("key", match_key(stem("path"))).join(known.select("key"), "key", "left_semi")
@@ -218,6 +219,11 @@ def hubs(posts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return joined.select("kind", "name", F.coalesce("found", slug("name")).alias("stem"), "titles", F.col("found").isNotNull().alias("exists"))
 
 
+def _turn(kind: Column | str) -> Column:
+    """The order in which kinds of hubs are written."""
+    return F.when(c(kind) == "Kategorie", 0).when(c(kind) == "Tag", 1).otherwise(2)
+
+
 def _link_list(titles: Column) -> Column:
     return F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- [["), slug(t), F.lit("]]"))), "\n")
 
@@ -233,15 +239,18 @@ def block_text(name: Column | str, titles: Column | str) -> Column:
 
 
 def notes_of(posts: DataFrame, folder: str, existing: DataFrame | None = None) -> DataFrame:
-    """path, content, kind of all notes that an import makes: posts, and hubs that are not there yet."""
+    """path, content, kind of all notes that an import makes: posts, and hubs that are not there yet.
+
+    Hubs are written after the posts, by kind and name; of several notes for one
+    path the last stands. A hub's row holds the titles of all its posts, as its
+    note does.
+    """
     prefix = folder.strip().strip("/")
     prefix = prefix + "/" if prefix else ""
     hub = hubs(posts, existing)
     goal = hub.groupBy("name").agg(F.min("stem").alias("stem"))
     linked = terms(posts).join(goal, "name").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("kind", "nth", "stem"))).alias("links"))
-    n = F.row_number().over(Window.partitionBy(F.lower(slug("title"))).orderBy("pos"))
-    named = posts.withColumn("n", n).withColumn("stem", F.when(F.col("n") == 1, slug("title")).otherwise(F.concat(slug("title"), F.lit(" "), F.col("n").cast("string"))))
-    rows = named.join(linked, "pos", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<kind:string,nth:int,stem:string>>")))
+    rows = posts.join(unique_stems(posts), "pos").join(linked, "pos", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<kind:string,nth:int,stem:string>>")))
     of = lambda kind: F.transform(F.filter("links", lambda x: x["kind"] == kind), lambda x: F.concat(F.lit("[["), x["stem"], F.lit("]]")))
     line = lambda label, kind: F.when(F.size(of(kind)) > 0, F.concat(F.lit(f"\n\n**{label}:** "), F.array_join(of(kind), " "))).otherwise("")
     head = F.concat(F.lit("---\nsource: import\n"), F.when(F.col("link") != "", F.concat(F.lit("url: "), "link", F.lit("\n"))).otherwise(""), F.when(F.col("date") != "", F.concat(F.lit("date: "), "date", F.lit("\n"))).otherwise(""), F.lit("---\n\n# "), "title", F.lit("\n"))
@@ -250,8 +259,10 @@ def notes_of(posts: DataFrame, folder: str, existing: DataFrame | None = None) -
     first = F.get("categories", F.lit(0))
     sub = F.when(F.coalesce(first, F.lit("")) != "", F.concat(slug(first), F.lit("/"))).otherwise("")
     made = rows.select(F.concat(F.lit(prefix), sub, "stem", F.lit(".md")).alias("path"), text.alias("content"), F.lit("post").alias("kind"))
-    fresh = hub.where("not exists").select(F.concat(F.lit(prefix), "stem", F.lit(".md")).alias("path"), hub_text("kind", "name", "titles").alias("content"), F.lit("hub").alias("kind"))
-    return made.unionByName(fresh)
+    fresh = hub.where("not exists").select(F.concat(F.lit(prefix), "stem", F.lit(".md")).alias("path"), "kind", "name", "titles")
+    fresh = fresh.groupBy("path").agg(F.max_by(F.struct("kind", "name", "titles"), F.struct(_turn("kind"), "name")).alias("h"))
+    fresh = fresh.select("path", hub_text("h.kind", "h.name", "h.titles").alias("content"), F.lit("hub").alias("kind"))
+    return made.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
 
 
 def summary(posts: DataFrame, notes: DataFrame) -> DataFrame:

@@ -60,31 +60,46 @@ def free_paths(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     return dealt.mapInPandas(fold, "pos long, path string")
 
 
+def _free(notes: DataFrame, path: str, into: str, title: str) -> str:
+    """A free path for one note, which may keep its own."""
+    row = notes.sparkSession.createDataFrame([(0, into, title)], "pos long, folder string, title string")
+    return free_paths(notes.where(F.col("path") != path), row).first()["path"]
+
+
 def rename(notes: DataFrame, path: str, new_title: str) -> DataFrame:
-    """path, content, changed: a note under its new stem, and links to it following."""
+    """path, content, changed: a note under its new stem, numbered where another note has it, and links to it following."""
     old = path.rsplit("/", 1)[-1].removesuffix(".md")
-    new = "".join("-" if ch in '/\\:*?"<>|' else ch for ch in new_title.strip()).strip() or "Untitled"
-    prefix = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
+    target = _free(notes, path, path.rpartition("/")[0], new_title)
+    new = target.rsplit("/", 1)[-1].removesuffix(".md")
     # links are read without regard to case, so a change of case alone leaves them as they are
     text = F.col("content") if old.lower() == new.lower() else md.retarget("content", old, new)
-    moved = F.when(F.col("path") == path, F.lit(f"{prefix}{new}.md")).otherwise(F.col("path"))
+    moved = F.when(F.col("path") == path, F.lit(target)).otherwise(F.col("path"))
     return notes.select(moved.alias("path"), text.alias("content"), (text != F.col("content")).alias("changed"))
 
 
 def move(notes: DataFrame, path: str, into: str) -> DataFrame:
-    name = F.element_at(F.split("path", "/"), -1)
-    target = F.when(F.lit(into.strip("/") == ""), name).otherwise(F.concat(F.lit(into.strip("/") + "/"), name))
-    return notes.withColumn("path", F.when(F.col("path") == path, target).otherwise(F.col("path")))
+    """A note in another folder, numbered where another note has its name there."""
+    target = _free(notes, path, into, path.rsplit("/", 1)[-1].removesuffix(".md"))
+    return notes.withColumn("path", F.when(F.col("path") == path, F.lit(target)).otherwise(F.col("path")))
 
 
-def move_folder(notes: DataFrame, source: str, into: str) -> DataFrame:
-    """Notes below ``source`` move below ``into``; the root, itself and its own subtree are refused."""
+def folder_target(source: str, into: str) -> tuple[str, str]:
+    """A folder and where it stands once it is moved; the root, itself and its own subtree are refused."""
     source, into = source.strip("/"), into.strip("/")
     if not source or into == source or into.startswith(source + "/") or ".." in source.split("/") + into.split("/"):
         raise ValueError("the folder cannot move there")
-    to = (into + "/" if into else "") + source.rsplit("/", 1)[-1]
+    return source, (into + "/" if into else "") + source.rsplit("/", 1)[-1]
+
+
+def move_folder(notes: DataFrame, source: str, into: str) -> DataFrame:
+    """Notes below ``source`` move below ``into``; a folder that is not there and a place that is taken are refused too."""
+    source, to = folder_target(source, into)
+    if not notes.where(F.col("path").startswith(source + "/")).limit(1).count():
+        raise FileNotFoundError(f"no folder {source}")
     if to == source:
         return notes
+    if notes.where(F.col("path").startswith(to + "/")).limit(1).count():
+        raise FileExistsError(f"there is a folder {to}")
     inside = F.col("path").startswith(source + "/")
     return notes.withColumn("path", F.when(inside, F.concat(F.lit(to), F.substr("path", F.lit(len(source) + 1)))).otherwise(F.col("path")))
 
@@ -161,12 +176,49 @@ def numbered(rows: DataFrame, order: str, name: str = "pos") -> DataFrame:
     return dealt.withColumn("_within", within).join(F.broadcast(below), "_part").withColumn(name, (F.col("_below") + F.col("_within")).cast("long")).drop("_part", "_within", "_below")
 
 
+def numbered_within(rows: DataFrame, key: str, order: str, name: str = "pos") -> DataFrame:
+    """``rows`` with gapless numbers from 0 within each key, in the order of a column.
+
+    Rows are sorted in ranges of (key, order), so a key of any size lies in as
+    many tasks as it needs; the counts of the ranges give the numbers.
+    """
+    dealt = cut(rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_at", F.monotonically_increasing_id()))
+    parts = dealt.groupBy(key, F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # a range holds whole keys but for its first and last, so all others begin where they stand
+    below = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = parts.select(key, "_part", (F.coalesce(below, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.withColumn("_part", F.shiftright("_at", 33)).join(shift, [key, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def unique_stems(titles: DataFrame) -> DataFrame:
-    """pos, stem: the slug of each title, numbered from 2 where a lower-cased one came before.
+    """pos, stem: the slug of each title, counted on from 2 until it is free of what came before, in any case.
 
-    Right where no title is itself another's numbered form; ``free_paths``
-    folds in order and covers that too.
+    Names that could meet have one root, the name without trailing numbers.
+    Where all of a root's names are one, its rows are numbered in ranges, however
+    many they are. Only roots with several names (``X`` beside ``X 2``) are
+    folded in order, each in one task that holds the names of one root.
     """
-    keyed = titles.select("pos", slug("title").alias("slug"))
-    n = F.row_number().over(Window.partitionBy(F.lower("slug")).orderBy("pos"))
-    return keyed.select("pos", F.when(n == 1, F.col("slug")).otherwise(F.concat("slug", F.lit(" "), n.cast("string"))).alias("stem"))
+    stems = titles.select("pos", slug("title").alias("stem")).withColumn("key", F.lower("stem")).withColumn("root", F.regexp_replace("key", r"( \d+)+$", ""))
+    several = stems.groupBy("root").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("root")
+    plain = numbered_within(stems.join(several, "root", "left_anti").select("pos", "stem", "key"), "key", "pos", "n")
+    alone = plain.select("pos", F.when(F.col("n") == 0, F.col("stem")).otherwise(F.concat("stem", F.lit(" "), (F.col("n") + 1).cast("string"))).alias("stem"))
+
+    def fold(batches):
+        import pandas as pd
+
+        at, used, last = None, set(), {}
+        for rows in batches:
+            out = []
+            for pos, stem, key, root in rows.itertuples(index=False):
+                if root != at:
+                    at, used, last = root, set(), {}
+                name, n = stem, last.get(key, 2)
+                while name.lower() in used:
+                    name, n = f"{stem} {n}", n + 1
+                last[key] = n
+                used.add(name.lower())
+                out.append((pos, name))
+            yield pd.DataFrame(out, columns=["pos", "stem"])
+
+    mixed = stems.join(several, "root", "left_semi").select("pos", "stem", "key", "root").repartition("root").sortWithinPartitions("root", "pos")
+    return alone.unionByName(mixed.mapInPandas(fold, "pos long, stem string"))

@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.names import c, quoted, stem
+from ..functions.names import c, quoted
+from ..lineage import cut
 from .graph import backlinks, resolved
+from .mentions import all_mentions
+
+
+__all__ = ["all_mentions", "classify", "dead_links", "highlighted", "link_candidates", "linked_pairs", "related", "search", "suggestions", "term_weights", "unlinked_mentions"]
 
 
 def classify(text: str) -> tuple[str, str] | None:
@@ -72,32 +77,10 @@ def unlinked_mentions(notes: DataFrame, path: str, name: str) -> DataFrame:
     return free.where("count > 0").select("path", "title", md.snippet("text", name).alias("snippet"), "count")
 
 
-def all_mentions(notes: DataFrame) -> DataFrame:
-    """path, dst, count: unlinked mentions of every note's name in every other note.
-
-    A name is a run of words. It is looked up by its first two words, so a
-    text only meets names that begin where its words are; no pair of note and
-    name is formed otherwise. Names that do not begin with a word sign, and
-    names of under three characters, have no mentions here.
-    """
-    word = md.WORD_SIGN + "+"
-    named = notes.select(F.col("path").alias("dst"), F.lower(stem("path")).alias("name")).where((F.length("name") >= 3) & F.col("name").rlike("^" + md.WORD_SIGN))
-    named = named.withColumn("parts", F.regexp_extract_all("name", F.lit(word), F.lit(0)))
-    keyed = named.select("dst", "name", F.array_join(F.slice("parts", 1, 2), " ").alias("key"))
-    text = notes.select("path", F.lower(md.without_links("content")).alias("text"), F.transform(md.links("content"), F.lower).alias("links"))
-    found = text.select("path", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("words"))
-    pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
-    looked = found.select("path", F.explode(F.array_distinct(F.concat("words", pairs))).alias("key"))
-    candidates = looked.join(keyed, "key").where("path <> dst").select("path", "dst", "name").distinct()
-    both = candidates.join(text, "path").where(~F.array_contains("links", F.col("name")))
-    literal = F.concat(F.lit(rf"(?u)(?<!{md.WORD_SIGN})\Q"), F.col("name"), F.lit(rf"\E(?!{md.WORD_SIGN})"))
-    return both.select("path", "dst", F.regexp_count("text", literal).cast("long").alias("count")).where("count > 0")
-
-
 def term_weights(notes: DataFrame) -> DataFrame:
     """path, term, weight: TF-IDF with frequencies relative to the note's length."""
     terms = notes.select("path", md.terms("content").alias("terms")).select("path", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    counts = terms.groupBy("path", "size", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(terms.groupBy("path", "size", "term").agg(F.count(F.lit(1)).alias("n")))  # read several times, tokenised once
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = notes.select(F.count(F.lit(1))).scalar()
     return counts.join(spread, "term").select("path", "term", ((F.col("n") / F.col("size")) * (F.log(total / F.col("df")) + 1)).alias("weight"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import names as nm
+from ..lineage import scratch
 from ..operators import folders, graph, history, importing, rewrite, search
+from ..operators.termindex import TermIndex
 from ..sources import derived
 from ..sources.derived import NOTES_CTE, POSTS_CTE, SNAPSHOTS_CTE
 from . import dql
@@ -31,6 +33,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def FOLDED(source: str) -> str:
+    """DuckDB: pos, stem of ``source`` (pos, stem), each name counted on from 2 until it is free of those before."""
+    return f"""fam AS (SELECT list(pos ORDER BY pos) AS ps, list(stem ORDER BY pos) AS ss FROM {source} GROUP BY lower(regexp_replace(stem, '( [0-9]+)+$', ''))),
+folded AS (SELECT ps, list_reduce(list_prepend([]::VARCHAR[], list_transform(ss, lambda s: [s])), lambda a, x: list_append(a,
+  list_filter(list_prepend(x[1], list_transform(range(2, len(a) + 3), lambda n: x[1] || ' ' || n)), lambda y: NOT list_contains(list_transform(a, lambda z: lower(z)), lower(y)))[1])) AS names FROM fam),
+stems AS (SELECT unnest(ps) AS pos, unnest(names) AS stem FROM folded)"""
+
+
 STEM = "regexp_replace({0}, '^(?:.*/)?([^/]*?)(?:\\.md)?$', '\\1')"
 LINKS_CTE = r"""
 raw AS (
@@ -294,6 +304,13 @@ def related_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.related(derived.notes(spark, sf_dir), _path_of(spark, sf_dir, 11), 8)
 
 
+@query(ORACLES["related_notes"])
+def related_notes_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored index, which is built here and read as any later query reads it."""
+    index = TermIndex.build(derived.notes(spark, sf_dir).select("path", "content"), scratch(spark, "terms"))
+    return index.related(_path_of(spark, sf_dir, 11), 8)
+
+
 @query(with_notes(f""",
 q AS (SELECT item_id AS id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[\\pL\\pN]+'), lambda x: lower(x)), lambda x: strlen(x) >= 3 AND x NOT IN ({MINOR}))) AS terms FROM benchmark),
 d AS (SELECT path, list_distinct(list_filter(list_transform(regexp_extract_all('Doc ' || doc_id || ' ' || content, '[\\pL\\pN]+'), lambda x: lower(x)), lambda x: strlen(x) >= 3 AND x NOT IN ({MINOR}))) AS terms FROM notes),
@@ -359,9 +376,9 @@ def replace_with_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("was", "path", F.array_join(md.links("content"), "|").alias("links"))
 
 
-@query(with_notes("""SELECT CASE WHEN starts_with(path, 'de/src5/') THEN 'fr/src5/' || substr(path, 9) ELSE path END AS path, modified FROM notes"""))
+@query(with_notes("""SELECT CASE WHEN starts_with(path, 'de/src5/') THEN 'archive/src5/' || substr(path, 9) ELSE path END AS path, modified FROM notes"""))
 def move_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.move_folder(derived.notes(spark, sf_dir), "de/src5", "fr").select("path", "modified")
+    return rewrite.move_folder(derived.notes(spark, sf_dir), "de/src5", "archive").select("path", "modified")
 
 
 @query(with_notes("SELECT path FROM notes WHERE NOT starts_with(path, 'es/')"))
@@ -369,13 +386,28 @@ def delete_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.delete_folder(derived.notes(spark, sf_dir), "es").select("path")
 
 
-@query("""WITH t AS (SELECT p_partkey AS pos, regexp_replace(p_name, '[/\\\\:*?"<>|]', '-', 'g') AS s FROM part),
-n AS (SELECT pos, s, row_number() OVER (PARTITION BY lower(s) ORDER BY pos) AS k FROM t)
-SELECT pos, CASE WHEN k = 1 THEN s ELSE s || ' ' || k END AS stem FROM n""")
+@query(f"""WITH t AS (SELECT p_partkey AS pos, regexp_replace(p_name, '[/\\\\:*?"<>|]', '-', 'g') AS stem FROM part), {FOLDED('t')} SELECT pos, stem FROM stems""")
 def unique_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.unique_stems(derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("title")))
 
 
+@query(f"""WITH t AS (SELECT p_partkey AS pos, upper(substr(p_name, 1, p_partkey % 2)) || substr(split_part(p_name, ' ', 1), 1 + p_partkey % 2) || CASE WHEN p_partkey % 3 = 0 THEN ' ' || (1 + p_size % 4) ELSE '' END AS stem FROM part), {FOLDED('t')} SELECT pos, stem FROM stems""")
+def numbered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that meet each other's numbered forms, in any case."""
+    title = "upper(substr(p_name, 1, p_partkey % 2)) || substr(split_part(p_name, ' ', 1), 1 + p_partkey % 2) || CASE WHEN p_partkey % 3 = 0 THEN ' ' || (1 + p_size % 4) ELSE '' END"
+    return rewrite.unique_stems(derived.table(spark, sf_dir, "part").selectExpr("p_partkey AS pos", f"{title} AS title"))
+
+
+@query(with_notes("""SELECT CASE WHEN doc_id = 3 THEN regexp_replace(path, '[^/]*$', '') || 'Doc ' || (SELECT min(n.doc_id) FROM notes n JOIN notes m ON m.doc_id = 3 WHERE n.doc_id <> 3 AND regexp_replace(n.path, '[^/]*$', '') = regexp_replace(m.path, '[^/]*$', '')) || ' 2.md' ELSE path END AS path FROM notes"""))
+def rename_onto_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note renamed to a name that another has in its folder."""
+    rows, path = derived.notes(spark, sf_dir), _path_of(spark, sf_dir, 3)
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
+    taken = rows.where(F.col("path").startswith(path.rpartition("/")[0] + "/") & (F.col("path") != path)).agg(F.min(number)).scalar()
+    name = spark.range(1).select(taken.alias("n")).first()["n"]
+    return rewrite.rename(rows, path, f"Doc {name}").select("path")
+
+
 # --- history ---------------------------------------------------------------
 
 
@@ -563,10 +595,10 @@ def _vault_of_hubs(posts: DataFrame) -> DataFrame:
 t AS (SELECT 'Kategorie' AS kind, category AS name, pos, title FROM posts UNION ALL SELECT 'Autor', author, pos, title FROM posts WHERE author <> ''),
 b AS (SELECT name, kind, '<!-- imported-start -->' || chr(10) || chr(10) || '## ' || name || ' · ' || count(*) || ' Beiträge' || chr(10) || chr(10)
   || string_agg('- [[' || CASE WHEN trim(title) = '' THEN 'Untitled' ELSE regexp_replace(trim(title), '[/\\\\:*?"<>|]', '-', 'g') END || ']]', chr(10) ORDER BY pos) || chr(10) || chr(10) || '<!-- imported-end -->' AS block FROM t GROUP BY name, kind),
-k AS (SELECT name, arg_max(block, kind) AS block FROM b GROUP BY name),
+k AS (SELECT name, arg_min(block, kind) AS block FROM b GROUP BY name),
 s AS (SELECT pos, category, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE trim(regexp_replace(trim(title), '[/\\\\:*?"<>|]', '-', 'g')) END AS stem FROM posts),
-n AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY pos) AS n FROM s)
-SELECT 'Blog/' || CASE WHEN category = '' THEN '' ELSE category || '/' END || CASE WHEN n = 1 THEN stem ELSE stem || ' ' || n END || '.md' AS path, 'write' AS action, '' AS content FROM n
+{FOLDED('s')}
+SELECT 'Blog/' || CASE WHEN category = '' THEN '' ELSE category || '/' END || stems.stem || '.md' AS path, 'write' AS action, '' AS content FROM stems JOIN s USING (pos)
 UNION ALL SELECT 'Blog/' || name || '.md', 'write', '' FROM b WHERE length(name) % 3 = 2
 UNION ALL SELECT v.path, 'block', CASE WHEN starts_with(v.path, 'mine/') THEN '# About ' || name || chr(10) || 'own words' || chr(10) || chr(10) || block || chr(10)
   ELSE '# ' || upper(name) || chr(10) || block || chr(10) || 'after' END FROM vault v JOIN k ON v.path IN ('mine/' || name || '.md', 'people/P ' || name || '.md') WHERE NOT made

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import markdown as md
-from .functions.names import stem
+from .functions.names import clean_folder, stem
 from .lineage import cut
 from .operators import folders, graph, importing, rewrite, search
 from .operators.history import diff_rows
@@ -169,6 +169,21 @@ class Vault:
         self._move_history(path, new)
         return new
 
+    def move_folder(self, folder: str, into: str) -> str:
+        """Move a folder with all it holds, and its notes' snapshots; its new path. Nothing is merged or replaced."""
+        self._ensure_write()
+        source, to = rewrite.folder_target(folder, into)
+        if not os.path.isdir(inside(self.root, source)):
+            raise FileNotFoundError(f"no folder {source}")
+        if to == source:
+            return to
+        if os.path.exists(inside(self.root, to)):
+            raise FileExistsError(f"there is a folder {to}")
+        os.makedirs(os.path.dirname(inside(self.root, to)), exist_ok=True)
+        os.replace(inside(self.root, source), inside(self.root, to))
+        self._move_history(source, to)
+        return to
+
     def update_note(self, path: str, content: str, client: str | None = None) -> dict[str, Any]:
         """An assistant's new text for a note: stamped, written, its links checked."""
         self._ensure_write()
@@ -225,9 +240,14 @@ class Vault:
             raise ValueError("the root cannot be deleted")
         shutil.rmtree(inside(self.root, name.strip("/")))
 
-    def create_folder(self, name: str) -> None:
+    def create_folder(self, name: str) -> str:
+        """Make a folder, each part of its name cleaned of signs that no file may have; its path."""
         self._ensure_write()
-        os.makedirs(inside(self.root, name.strip("/")), exist_ok=True)
+        clean = self.spark.range(1).select(clean_folder(F.lit(name)).alias("name")).first()["name"]
+        if not clean:
+            raise ValueError("a folder needs a name")
+        os.makedirs(inside(self.root, clean), exist_ok=True)
+        return clean
 
     def link_mentions(self, path: str, name: str) -> int:
         """Turn a note's plain mentions of a name into links, after a snapshot."""
