@@ -55,6 +55,12 @@ def estimates(pools):
         now = new
         if step and fell < rules.FALL:
             break
+        if step == rules.RACE - 1:
+            least = {}
+            for (p, name), e in sorted(now.items(), key=lambda i: i[0][1]):
+                if p not in least or round(logdet(e[1]), 6) < round(logdet(now[p, least[p]][1]), 6):
+                    least[p] = name
+            now = {(p, name): now[p, name] for p, name in least.items()}
     best = {}
     for (p, name), e in sorted(now.items(), key=lambda i: i[0][1]):
         if p not in best or round(logdet(e[1]), 6) < round(logdet(best[p][1]), 6):
