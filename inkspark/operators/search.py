@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
@@ -14,7 +14,7 @@ from .graph import backlinks, resolved
 from .mentions import all_mentions
 
 
-__all__ = ["all_mentions", "classify", "dead_links", "highlighted", "link_candidates", "linked_pairs", "related", "search", "suggestions", "term_weights", "unlinked_mentions"]
+__all__ = ["all_mentions", "classify", "dead_links", "found_in", "highlighted", "link_candidates", "linked_pairs", "nothing_found", "related", "search", "suggestions", "term_weights", "unlinked_mentions", "valid"]
 
 
 def classify(text: str) -> tuple[str, str] | None:
@@ -30,20 +30,21 @@ def classify(text: str) -> tuple[str, str] | None:
     return "literal", raw
 
 
-def _valid(notes: DataFrame, pattern: str) -> bool:
+def valid(spark: SparkSession, pattern: str) -> bool:
+    """Whether Java takes a pattern."""
     try:
-        notes.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
         return True
     except Exception:
         return False
 
 
-def search(notes: DataFrame, text: str) -> DataFrame:
-    """path, title, snippet of every note whose title or text matches; a bad pattern matches nothing."""
-    titled = notes.select("path", md.title("path", "content").alias("title"), "content")
-    kind, needle = classify(text) or ("none", "")
-    if kind == "none" or kind == "regex" and not _valid(notes, needle):
-        return titled.where("false").select("path", "title", F.lit("").alias("snippet"))
+def nothing_found(titled: DataFrame) -> DataFrame:
+    return titled.where("false").select("path", "title", F.lit("").alias("snippet"))
+
+
+def found_in(titled: DataFrame, kind: str, needle: str) -> DataFrame:
+    """path, title, snippet of the rows (path, title, content) that a literal or a pattern matches."""
     if kind == "literal":
         low = needle.lower()
         hit = F.lower("title").contains(low) | F.lower("content").contains(low)
@@ -52,6 +53,15 @@ def search(notes: DataFrame, text: str) -> DataFrame:
     return titled.where(F.col("title").rlike(pattern) | F.col("content").rlike(pattern)).select("path", "title", md.regex_snippet("content", pattern).alias("snippet"))
 
 
+def search(notes: DataFrame, text: str) -> DataFrame:
+    """path, title, snippet of every note whose title or text matches; a bad pattern matches nothing."""
+    titled = notes.select("path", md.title("path", "content").alias("title"), "content")
+    kind, needle = classify(text) or ("none", "")
+    if kind == "none" or kind == "regex" and not valid(notes.sparkSession, needle):
+        return nothing_found(titled)
+    return found_in(titled, kind, needle)
+
+
 def highlighted(text: Column | str, sought: str) -> Column:
     """array<struct(text, hit)>: a text in parts, those that a search found marked; a blank search marks nothing.
 

@@ -11,6 +11,7 @@ from ..functions import markdown as md
 from ..functions import names as nm
 from ..lineage import scratch
 from ..operators import folders, graph, history, importing, rewrite, search
+from ..operators.gramindex import GramIndex
 from ..operators.termindex import TermIndex
 from ..sources import derived
 from ..sources.derived import NOTES_CTE, POSTS_CTE, SNAPSHOTS_CTE
@@ -270,6 +271,18 @@ def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(derived.notes(spark, sf_dir), "/[A-Z]{4,}!!/")
 
 
+@query(with_notes(f""", h AS (SELECT path, 'Doc ' || doc_id AS title, content, strpos(lower(content), 'missing 7') AS at1, strpos(lower(content), 'see doc 1') AS at2 FROM notes),
+k AS (SELECT path, title, content, 'Missing 7' AS sought, at1 AS hit_at, 9 AS n FROM h WHERE at1 > 0 UNION ALL SELECT path, title, content, 'see doc 1', at2, 9 FROM h WHERE at2 > 0
+  UNION ALL SELECT path, title, content, 'pattern', strpos(content, hit), length(hit) FROM (SELECT *, regexp_extract(content, '[a-z]+ Doc 2[0-9]* today') AS hit FROM h) WHERE hit <> '')
+SELECT sought, path, title, {SNIPPET.format(c='content', n='n')} AS snippet FROM k"""))
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two literals and a pattern through a stored gram index, which is built here and read as any later search reads it."""
+    index = GramIndex.build(derived.notes(spark, sf_dir).select("path", "content"), scratch(spark, "grams"))
+    asked = {"Missing 7": "Missing 7", "see doc 1": "see doc 1", "pattern": r"re:[a-z]+ Doc 2\d* today"}
+    found = [index.search(text).select(F.lit(name).alias("sought"), "path", "title", "snippet") for name, text in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(f"""WITH {B}, s AS (SELECT path, doc_id, regexp_replace(content, '(?s)\\[\\[.*?\\]\\]', ' ', 'g') AS text, content FROM b),
 m AS (SELECT path, doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\pL\\pN_])doc 1(?:$|[^\\pL\\pN_])')) AS n, content FROM s)
 SELECT path, 'Doc ' || doc_id AS title, CAST(n AS BIGINT) AS "count" FROM m
