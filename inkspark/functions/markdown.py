@@ -33,6 +33,27 @@ NUMBER = r"^[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-
 # --- titles and authorship -------------------------------------------------
 
 
+def split_front(content: Column | str) -> Column:
+    """struct(front, body): the leading block with its fences, and the text without the line ends before it.
+
+    A text that does not begin with ``---``, or whose block is never closed, is all body.
+    """
+    front = F.regexp_extract(c(content), r"\A(---(?s:.*?)\n---[^\n]*\n?)", 1)
+    rest = F.regexp_replace(F.substr(c(content), F.length(front) + 1), r"\A\n+", "")
+    return F.struct(front.alias("front"), F.when(front == "", c(content)).otherwise(rest).alias("body"))
+
+
+def join_front(front: Column | str, body: Column | str) -> Column:
+    """A body below its block, with one blank line between; the body alone without one."""
+    kept = F.regexp_replace(c(front), rf"{WHITE}+\z", "")
+    return F.when(c(front) == "", c(body)).otherwise(F.concat(kept, F.lit("\n\n"), c(body)))
+
+
+def unescaped_links(content: Column | str) -> Column:
+    """Text in which an editor's backslashes before the brackets of links are taken away, and no others."""
+    return F.replace(F.replace(c(content), F.lit(r"\[\["), F.lit("[[")), F.lit(r"\]\]"), F.lit("]]"))
+
+
 def heading(content: Column | str) -> Column:
     """First line of text after a leading frontmatter block, without markers; null if there is none.
 

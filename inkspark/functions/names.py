@@ -159,13 +159,27 @@ def link_cell(cell: Column | str) -> Column:
 
 
 def size_label(n: Column | str) -> Column:
-    """Bytes in B, KB with one decimal, or MB with one decimal."""
+    """Bytes in B below 1024, else kB with one decimal."""
     n = c(n)
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB")))
-    )
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", n / 1024), F.lit(" kB")))
+
+
+#: Clients whose names have a spelling of their own, and the patterns of a date by language.
+CLIENTS = ["Codex", "Claude"]
+SHORT_DATES = {"de": "dd.MM., HH:mm", "": "dd/MM, HH:mm"}
+
+
+def client_label(client: Column | str) -> Column:
+    """How an assistant's client is shown: ``AI`` where none is named, known ones in their own spelling."""
+    shown = F.when(F.coalesce(c(client), F.lit("")) == "", "AI")
+    for name in CLIENTS:
+        shown = shown.when(F.lower(c(client)) == name.lower(), name)
+    return shown.otherwise(c(client))
+
+
+def when_label(ms: Column | str, lang: str) -> Column:
+    """Day, month and time of milliseconds in the session's time zone, as the language writes them."""
+    return F.date_format(F.timestamp_millis(c(ms)), SHORT_DATES.get(lang, SHORT_DATES[""]))
 
 
 def radius(in_links: Column | str) -> Column:

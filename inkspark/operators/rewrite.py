@@ -111,6 +111,12 @@ def delete_folder(notes: DataFrame, name: str) -> DataFrame:
     return notes.where(~F.col("path").startswith(name + "/"))
 
 
+def deleted_with(notes: DataFrame, name: str) -> DataFrame:
+    """path, title of the notes that go with a folder; their number is what the deletion reports."""
+    delete_folder(notes, name)  # refuses what cannot be deleted
+    return notes.where(F.col("path").startswith(name.strip("/") + "/")).select("path", md.title("path", "content").alias("title"))
+
+
 def replace_preview(notes: DataFrame, find: str) -> DataFrame:
     """path, title, count of the notes that hold ``find``, case and all."""
     if not find:
@@ -126,6 +132,23 @@ def rename_preview(notes: DataFrame, find: str, replacement: str) -> DataFrame:
     return notes.where(name.contains(find) & (F.trim(new) != "")).select("path", name.alias("old"), new.alias("new"))
 
 
+def affected(notes: DataFrame, find: str, replacement: str, rename_notes: bool = True) -> DataFrame:
+    """One row: notes that hold ``find``, how often in all, notes renamed, and notes touched at all.
+
+    A renamed note often holds the text too, so the notes touched are counted
+    once each, in one pass over the notes.
+    """
+    holds = F.length(F.replace("content", F.lit(find), F.lit(""))) if find else F.length("content")
+    count = ((F.length("content") - holds) / max(1, len(find))).cast("long")
+    new = F.replace(stem("path"), F.lit(find), F.lit(replacement))
+    renamed = stem("path").contains(find) & (F.trim(new) != "") if find and rename_notes else F.lit(False)
+    rows = notes.select(F.coalesce(count, F.lit(0)).alias("n"), renamed.alias("renamed"))
+    return rows.agg(
+        F.count_if(F.col("n") > 0).alias("hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.count_if("renamed").alias("renames"), F.count_if((F.col("n") > 0) | F.col("renamed")).alias("affected"),
+    )
+
+
 def replace_text(notes: DataFrame, find: str, replacement: str) -> DataFrame:
     return notes.withColumn("content", F.replace("content", F.lit(find), F.lit(replacement))) if find else notes
 

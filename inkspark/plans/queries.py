@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import names as nm
 from ..lineage import scratch
-from ..operators import folders, graph, history, importing, rewrite, search
+from ..operators import folders, graph, history, importing, journal, rewrite, search
 from ..operators.gramindex import GramIndex
 from ..operators.termindex import TermIndex
 from ..sources import derived
@@ -678,7 +678,7 @@ def linked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", nm.link_cell(F.col("row")[0]).alias("cell")).select("path", "cell.target", "cell.label")
 
 
-@query(with_notes("""SELECT path, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size
+@query(with_notes("""SELECT path, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f kB', floor(n / 1024.0 * 10 + 0.5) / 10) END AS size
 FROM (SELECT path, strlen(content) AS n FROM notes)"""))
 def note_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.notes(spark, sf_dir).select("path", nm.size_label(F.octet_length("content")).alias("size"))
@@ -789,3 +789,49 @@ def highlighted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_notes("SELECT path FROM notes WHERE starts_with(path, 'de/src3/')"))
 def template_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.templates(derived.notes(spark, sf_dir), " de/src3 ").select("path")
+
+
+@query(f"""WITH {B}, s AS (SELECT path, content, strpos(substr(content, 4), chr(10) || '---') + 3 AS shut FROM b),
+e AS (SELECT *, strpos(substr(content, shut + 1), chr(10)) + shut AS stop FROM s)
+SELECT path, substr(content, 1, stop) AS front, ltrim(substr(content, stop + 1), chr(10)) AS body,
+  rtrim(substr(content, 1, stop), chr(10)) || chr(10) || chr(10) || ltrim(substr(content, stop + 1), chr(10)) AS joined,
+  content AS unescaped FROM e""")
+def split_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes in block and body and together again, and with links that an editor escaped set right."""
+    split = derived.notes(spark, sf_dir).withColumn("s", md.split_front("content"))
+    escaped = F.replace(F.replace("content", F.lit("[["), F.lit(r"\[\[")), F.lit("]]"), F.lit(r"\]\]"))
+    return split.select("path", "s.front", "s.body", md.join_front("s.front", "s.body").alias("joined"), md.unescaped_links(escaped).alias("unescaped"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'AI' WHEN user_id % 4 = 1 THEN 'Codex' WHEN user_id % 4 = 2 THEN 'Claude' ELSE event_type END AS client,
+strftime(ts, '%d.%m., %H:%M') AS de, strftime(ts, '%d/%m, %H:%M') AS en FROM events""")
+def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = derived.table(spark, sf_dir, "events")
+    client = F.element_at(F.array(F.lit(""), F.lit("CODEX"), F.lit("claude"), F.col("event_type")), (F.col("user_id") % 4 + 1).cast("int"))
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events.select("event_id", nm.client_label(client).alias("client"), nm.when_label(ms, "de").alias("de"), nm.when_label(ms, "en").alias("en"))
+
+
+@query(with_notes(""", r AS (SELECT (length(content) - length(replace(content, 'Doc 1', ''))) // 5 AS n, contains('Doc ' || doc_id, 'Doc 1') AS renamed FROM notes)
+SELECT count(*) FILTER (n > 0) AS hits, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (renamed) AS renames, count(*) FILTER (n > 0 OR renamed) AS affected FROM r"""))
+def replace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.affected(derived.notes(spark, sf_dir), "Doc 1", "Page 1")
+
+
+@query(with_notes("SELECT path, 'Doc ' || doc_id AS title FROM notes WHERE starts_with(path, 'de/src3/')"))
+def deleted_with_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.deleted_with(derived.notes(spark, sf_dir), "/de/src3/")
+
+
+@query("""WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, ts, event_type FROM events),
+g AS (SELECT day, string_agg('- ' || strftime(ts, '%H:%M') || ' ' || event_type, chr(10) || chr(10) ORDER BY ts, event_type) AS added,
+  string_agg('- ' || strftime(ts, '%H:%M') || ' ' || event_type, chr(10) ORDER BY ts, event_type) AS old FROM e GROUP BY day)
+SELECT 'Journal/' || day || '.md' AS path, CASE WHEN even THEN old ELSE '# ' || day END || chr(10) || chr(10) || added || chr(10) AS content, NOT even AS created
+FROM (SELECT *, CAST(right(day, 1) AS INTEGER) % 2 = 0 AS even FROM g)""")
+def captured_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events captured into daily notes, of which those of even days are there already."""
+    events = derived.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("text"))
+    rows = events.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("rows"))
+    old = F.array_join(F.transform("rows", lambda r: nm.capture_line(r["at"], r["text"])), "\n")
+    notes = rows.where(F.right("day", F.lit(1)).cast("int") % 2 == 0).select(F.concat(F.lit("Journal/"), "day", F.lit(".md")).alias("path"), F.concat(old, F.lit("\n")).alias("content"))
+    return journal.capture(notes, events, "Journal")
