@@ -96,6 +96,23 @@ def test_shards(spark, n):
     assert len({r.shard for r in rows if 5000 <= r.doc_id}) <= 2  # equal texts lie side by side
 
 
+def test_groups_of_equal_texts_that_fit_a_shard_are_not_parted(spark):
+    """Pairs and small groups stand whole beside every border; one of a third of all rows is cut, and shards stay near equal."""
+    pairs = [(i, f"pair {i // 2} " + "x" * (40 + i // 2 * 7 % 300)) for i in range(600)]
+    tens = [(1000 + i, f"ten {i // 10}") for i in range(400)]
+    docs = spark.createDataFrame(pairs + tens + [(2000 + i, "hot " + "h" * 150) for i in range(500)], "doc_id long, text string")
+    rows = shards.shard_documents(docs, 40).join(docs, "doc_id")
+    held = {r.text: (r.n, r.in_shards) for r in rows.groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("in_shards")).collect()}
+    mean = sum(len(t) + 16 for t in [r.text for r in docs.collect()]) / 40
+    parted = [t for t, (n, k) in held.items() if k > 1]
+    assert all(held[t][0] > 2 and held[t][0] * (len(t) + 16) > 0.02 * mean for t in parted) and not [t for t in parted if t.startswith("pair")]
+    assert held["hot " + "h" * 150][1] > 5
+    sizes = [r.b for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 40 and max(abs(b - mean) for b in sizes) <= 2 * 366
+    whole = shards.shard_documents(docs, 4, together=0.5).join(docs, "doc_id").where("text NOT LIKE 'hot%'")
+    assert whole.groupBy("text").agg(F.countDistinct("shard").alias("k")).where("k > 1").count() == 0
+
+
 def test_shards_awkward(spark):
     schema = "doc_id long, text string, shard int"
     assert shards.shard_documents(spark.createDataFrame([], schema), 4).count() == 0
