@@ -32,3 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder's path below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete tables ``n=…`` below a folder, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path(folder))]
+    return sorted(int(n[2:]) for n in names if n.startswith("n=") and system.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -154,7 +154,7 @@ def mentioned(query: Query) -> set[str]:
     return {key_of(n) for n in names}
 
 
-def _true_of_nothing(op: str, wanted: str) -> bool:
+def true_of_nothing(op: str, wanted: str) -> bool:
     """Whether a condition holds where the field is missing."""
     other = wanted.lower()
     return {"=": other == "", "!=": other != "", ">": False, ">=": other == "", "<": other != "", "<=": True}[op]
@@ -165,7 +165,7 @@ def _candidates(notes: DataFrame, query: Query) -> DataFrame:
     low = F.lower("content")
     if query.source and query.source[0] == "tag":
         notes = notes.where(low.contains(query.source[1].lower()))
-    if query.where and not _true_of_nothing(*query.where[1:]) and (key := key_of(query.where[0])) not in (*OF_PATH, "title"):
+    if query.where and not true_of_nothing(*query.where[1:]) and (key := key_of(query.where[0])) not in (*OF_PATH, "title"):
         notes = notes.where(low.contains(key.lower()))
     return notes
 
@@ -274,7 +274,12 @@ def run(notes: DataFrame, text: str) -> Result:
         query = parse(text)
     except QueryError as mistake:
         return Result("error", error=str(mistake))
-    frame = plan(pages(notes, query), query)
+    return answer(pages(notes, query), query)
+
+
+def answer(pages_frame: DataFrame, query: Query) -> Result:
+    """The result of a query over pages."""
+    frame = plan(pages_frame, query)
     if query.kind == "table":
         return Result("table", [label for _, label in query.columns], frame.select("path", F.array(*[value_of(f) for f, _ in query.columns]).alias("row")))
     link = F.concat(F.lit("[["), stem("path"), F.lit("]]"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..lineage import numbers, remove
 from ..operators.rewrite import upsert
 from ..sources.vault import SCHEMA, VaultSource
 
@@ -59,21 +60,11 @@ def last_writes(batch: DataFrame) -> DataFrame:
     return batch.groupBy("path").agg(F.max_by("content", F.struct("modified", "content")).alias("content"), F.max("modified").alias("modified"))
 
 
-def _numbers(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete tables ``n=…`` below a folder, ascending."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path(folder)):
-        return []
-    names = [s.getPath().getName() for s in system.listStatus(path(folder))]
-    return sorted(int(n[2:]) for n in names if n.startswith("n=") and system.exists(path(f"{folder}/{n}/_SUCCESS")))
-
-
 def kept_table(spark: SparkSession, path: str) -> DataFrame:
     """The current notes of a table that ``keep_table`` maintains."""
-    whole = _numbers(spark, f"{path}/whole")
+    whole = numbers(spark, f"{path}/whole")
     since = whole[-1] if whole else -1
-    changes = [n for n in _numbers(spark, f"{path}/changes") if n > since]
+    changes = [n for n in numbers(spark, f"{path}/changes") if n > since]
     notes = spark.read.schema(SCHEMA).parquet(f"{path}/whole/n={since}") if whole else spark.createDataFrame([], SCHEMA)
     if not changes:
         return notes
@@ -95,14 +86,13 @@ def keep_table(stream: DataFrame, path: str, checkpoint: str, every: int = 50) -
         spark = batch.sparkSession
         last_writes(batch).write.mode("overwrite").parquet(f"{path}/changes/n={number}")
         if (number + 1) % every == 0:
-            before = _numbers(spark, f"{path}/whole")
+            before = numbers(spark, f"{path}/whole")
             if number not in before:
                 kept_table(spark, path).write.mode("overwrite").parquet(f"{path}/whole/n={number}")
             for kind in ("whole", "changes"):
-                for n in _numbers(spark, f"{path}/{kind}"):
+                for n in numbers(spark, f"{path}/{kind}"):
                     if before and (n < before[-1] or kind == "changes" and n == before[-1]):
-                        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/n={n}")
-                        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+                        remove(spark, f"{path}/{kind}/n={n}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
