@@ -118,25 +118,63 @@ def link_candidates(notes: DataFrame, texts: DataFrame, limit: int = 8) -> DataF
     return ranked.select("id", "path", "score", "rank")
 
 
+#: Dice score up to which the first look for a target's closest names goes.
+CLOSE = 0.9
+
+
+def _pairs_of(frame: DataFrame, column: str) -> DataFrame:
+    """column, size, pair: character pairs of lower-cased texts, each known by its number of occurrence too."""
+    text = F.lower(column)
+    pairs = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    rows = frame.select(column).distinct().withColumn("pairs", pairs)
+    counted = rows.select(column, F.size("pairs").alias("size"), F.posexplode("pairs").alias("pos", "pair"))
+    nth = F.row_number().over(Window.partitionBy(column, "pair").orderBy("pos"))
+    return counted.select(column, "size", F.concat("pair", nth.cast("string")).alias("pair"))
+
+
+def _met(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """target, name: names that share one of the first pairs of a target (size, pairs, floor) and are about as long.
+
+    A name with a score of ``floor`` shares so many of a target's pairs that it
+    shares one of any choice that leaves out fewer.
+    """
+    ratio = F.col("floor") / (2 - F.col("floor"))
+    shared = F.greatest(F.ceil(ratio * F.col("size") - 1e-9), F.lit(1))
+    first = asked.select("target", F.col("size").alias("own"), ratio.alias("ratio"), F.explode(F.slice("pairs", 1, (F.col("size") - shared + 1).cast("int"))).alias("pair"))
+    about = (F.col("size") >= F.col("own") * F.col("ratio") - 1e-6) & (F.col("size") * F.col("ratio") <= F.col("own") + 1e-6)
+    return first.join(names, "pair").where(about).select("target", "name").distinct()
+
+
 def suggestions(targets: DataFrame, names: DataFrame, limit: int = 3, least: float = 0.3) -> DataFrame:
     """For each distinct target the closest names by Dice score above ``least``: target, name, score, rank.
 
-    Names and targets meet on shared character pairs, each pair known by its
-    text and number of occurrence, so that counting meetings is the multiset
-    intersection.
+    Names and targets meet on the target's rarest character pairs only, so many
+    of them that no name above a floor is missed. The first look is for scores
+    of ``CLOSE`` and more; the score of the last name wanted that it found is
+    the floor of the second, for targets that still lack names. Every pair of
+    texts found is measured once.
     """
-
-    def bigrams(frame: DataFrame, column: str) -> DataFrame:
-        text = F.lower(column)
-        pairs = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        rows = frame.select(column).distinct().withColumn("pairs", pairs)
-        counted = rows.select(column, F.size("pairs").alias("size"), F.posexplode("pairs").alias("pos", "pair"))
-        return counted.withColumn("nth", F.row_number().over(Window.partitionBy(column, "pair").orderBy("pos"))).drop("pos")
-
-    left, right = bigrams(targets, "target"), bigrams(names, "name").withColumnRenamed("size", "size2")
-    score = F.when(F.lower("target") == F.lower("name"), 1.0).otherwise(2.0 * F.count(F.lit(1)) / (F.first("size") + F.first("size2")))
-    scored = left.join(right, ["pair", "nth"]).groupBy("target", "name").agg(F.round(score, 6).alias("score")).where(F.col("score") > least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "name"))).where(F.col("rank") <= limit)
+    mine, theirs = cut(_pairs_of(targets, "target")), cut(_pairs_of(names, "name"))
+    spread = theirs.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pair"))), lambda x: x["pair"])
+    asked = cut(mine.join(spread, "pair", "left").groupBy("target", "size").agg(rare.alias("pairs")))
+    whole = cut(theirs.groupBy("name").agg(F.collect_list("pair").alias("has")))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked.select("target", "pairs"), "target").join(whole, "name")
+        score = 2.0 * F.size(F.array_intersect("pairs", "has")) / (F.size("pairs") + F.size("has"))
+        return both.select("target", "name", F.round(score, 6).alias("score"))
+
+    best = Window.partitionBy("target").orderBy(F.desc("score"), "name")
+    close = cut(measured(_met(asked.withColumn("floor", F.lit(CLOSE)), theirs)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit))
+    last = close.where(F.col("rank") == limit).select("target", F.col("score").alias("last"))
+    # scores are rounded, and equal ones go by name: the floor is just below
+    floors = asked.join(last, "target", "left").withColumn("floor", F.greatest(F.coalesce("last", F.lit(0.0)), F.lit(least)) - 2e-6)
+    open_yet = floors.where(F.col("floor") < CLOSE)
+    more = measured(_met(open_yet, theirs))
+    done = close.join(open_yet.select("target"), "target", "left_anti").select("target", "name", "score")
+    ranked = done.unionByName(more).where(F.col("score") > least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.select("target", "name", "score", "rank")
 
 
 def dead_links(notes: DataFrame) -> DataFrame:

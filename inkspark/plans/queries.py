@@ -12,9 +12,11 @@ from ..functions import names as nm
 from ..lineage import scratch
 from ..operators import folders, graph, history, importing, journal, rewrite, search
 from ..operators.gramindex import GramIndex
+from ..operators.pageindex import PageIndex
 from ..operators.termindex import TermIndex
 from ..sources import derived
 from ..sources.derived import NOTES_CTE, POSTS_CTE, SNAPSHOTS_CTE
+from ..streaming.livegraph import LiveGraph
 from . import dql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +128,23 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dql.pages(derived.notes(spark, sf_dir)).select("path", "title", F.array_join("tags", "|").alias("tags"), F.array_join(entries, "|").alias("fields"))
 
 
+@query(f"""WITH {B}, k AS (SELECT * FROM b WHERE doc_id % 10 <> 7)
+SELECT 'late' AS asked, path, 'Doc ' || doc_id AS cells FROM k WHERE doc_id % 10 = 5
+UNION ALL SELECT 'long', path, n_chars || '|' || CASE WHEN doc_id % 10 = 5 AND quality = 1 THEN '' ELSE {FIELD.format('quality')} END FROM k WHERE n_chars >= 3000
+UNION ALL SELECT 'topic', path, source FROM k WHERE lang = 'en' AND doc_id % 6 = 0 AND doc_id % 3 = 0 AND doc_id % 10 <> 5
+UNION ALL SELECT 'good', path, source FROM k WHERE quality = 1 AND doc_id % 10 <> 5""")
+def dql_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to a stored page index after notes were changed and deleted in it."""
+    notes = derived.notes(spark, sf_dir).select("path", "content")
+    ends = lambda d: F.col("path").endswith(f"{d}.md")
+    late = notes.where(ends(5)).select("path", F.concat(F.regexp_replace("content", "(?m)^quality: 1\n|tagged #", ""), F.lit("\n#late\n")).alias("content"))
+    index = PageIndex.build(notes, scratch(spark, "pages")).refresh(late, notes.where(ends(7)).select("path"))
+    asked = {"late": "TABLE title FROM #late", "long": "TABLE n_chars, quality WHERE n_chars >= 3000", "topic": "TABLE source FROM #topic/0", "good": "TABLE source WHERE quality = 1"}
+    parts = [index.run(text).frame.select(F.lit(name).alias("asked"), "path", F.array_join("row", "|").alias("cells")) for name, text in asked.items()]
+    parts[2] = parts[2].where(F.col("path").startswith("en/"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # --- scans and metadata ----------------------------------------------------
 
 
@@ -253,6 +272,26 @@ def degree_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(notes).select("path", "title", "missing", "degree")
 
 
+#: Notes after some were deleted and some written anew.
+LATER_CTE = NOTES_CTE.replace("notes AS (SELECT", "before AS (SELECT") + """,
+notes AS (SELECT path, doc_id, modified, CASE WHEN doc_id % 10 = 5 THEN '# Late ' || doc_id || chr(10) || '[[Doc ' || doc_id // 10 || ']] [[missing 3]]' ELSE content END AS content FROM before WHERE doc_id % 10 <> 7)"""
+
+
+@query(f"""WITH {LATER_CTE}, {LINKS_CTE}, {DEGREE},
+titled AS (SELECT path, CASE WHEN doc_id % 10 = 5 THEN 'Late ' || doc_id ELSE 'Doc ' || doc_id END AS title, doc_id % 4 = 0 AND doc_id % 10 <> 5 AS ai_authored,
+  CASE WHEN doc_id % 10 = 5 THEN NULL WHEN doc_id % 8 = 0 THEN 'scribe' WHEN doc_id % 4 = 0 THEN 'drafter' END AS ai_client, false AS missing FROM notes),
+ghosts AS (SELECT 'missing:' || name AS path, first(target ORDER BY lower(t.title), src, pos) AS title, false, NULL, true FROM resolved JOIN titled t ON t.path = src WHERE dst IS NULL GROUP BY name),
+all_nodes AS (SELECT * FROM titled UNION ALL SELECT * FROM ghosts)
+SELECT n.*, coalesce(d.degree, 0) AS degree FROM all_nodes n LEFT JOIN degree d USING (path)""")
+def live_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a kept graph that took all notes, and then a batch in which some go and some change their links."""
+    notes = derived.notes(spark, sf_dir)
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
+    text = F.concat(F.lit("# Late "), number.cast("string"), F.lit("\n[[Doc "), F.floor(number / 10).cast("string"), F.lit("]] [[missing 3]]"))
+    later = notes.where((number % 10).isin(5, 7)).select("path", F.when(number % 10 == 5, text).alias("content"), (F.col("modified") + 1).alias("modified"))
+    return LiveGraph(spark, scratch(spark, "graph")).apply(notes).apply(later).nodes()
+
+
 # --- search and similarity -------------------------------------------------
 
 SNIPPET = "'…' || trim(replace(substr({c}, greatest(hit_at - 30, 1), {n} + 70), chr(10), ' '), ' ' || chr(9) || chr(10) || chr(13)) || '…'"
