@@ -198,7 +198,10 @@ def _meet(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     left = left.withColumn("level", level(F.col("n")))
     right = right.withColumn("level", F.explode(F.array(*[level(F.col("n2")) + d for d in (-1, 0, 1)])))
     parts, _ = store(left.groupBy("gram", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "parts")
-    parts = F.broadcast(parts) if parts.count() <= MAX_BROADCAST else parts
+    dealt = parts.count()
+    if not dealt:
+        return _filtered(left.join(right, ["gram", "level"]), percent)
+    parts = F.broadcast(parts) if dealt <= MAX_BROADCAST else parts
     at = F.coalesce("parts", F.lit(1))
     left = left.join(parts, ["gram", "level"], "left").withColumn("block", F.pmod(F.xxhash64("k"), at).cast("int")).drop("parts")
     right = right.join(parts, ["gram", "level"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), at - 1))).drop("parts")
@@ -222,24 +225,26 @@ def class_links(ordered: DataFrame, percent: int, spanning: bool) -> DataFrame:
     for turn in range(ROUNDS + 1):
         active, active_path = rows.withColumn("root", F.col("k")), None
         if roots is not None:
-            active, active_path = store(unique_join(rows, roots.select(F.col("node").alias("k"), "root"), "k").withColumn("root", F.coalesce("root", "k")), "active")
+            active, active_path = store(unique_join(rows, roots.select(F.col("node").alias("k"), "root"), "k", stored=True).withColumn("root", F.coalesce("root", "k")), "active")
         if turn < ROUNDS:
             # first the hub has the fewest n-grams of its own: of near copies, one close to what they are copies of
             partner = F.struct(*other, F.col("root").alias("root2"))
             best_hub = F.min_by(partner, F.struct(F.lit(0) if turn else F.col("own"), F.xxhash64("k", F.lit(turn)))).alias("h")
-            hub = active.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), best_hub).where("lo <> hi").select("gram", "h.*")
-            met = _filtered(unique_join(active, hub, "gram").where("root <> root2"), percent).groupBy("k", "k2").count()
+            hub, once_path = store(active.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), best_hub).where("lo <> hi").select("gram", "h.*"), "hubs")
+            met = _filtered(unique_join(active, hub, "gram", stored=True).where("root <> root2"), percent).groupBy("k", "k2").count()
             met = met.withColumns({"a": F.least("k", "k2"), "b": F.greatest("k", "k2")}).join(tried, ["a", "b"], "left_anti")
             # of all hubs that a text meets, the one that it meets most often
             fresh = _distinct_pairs(met.groupBy("k").agg(F.max_by("k2", F.struct("count", "k2")).alias("k2")))
         else:
             sizes = active.groupBy("gram", "root").count()
             largest = sizes.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-            marked = unique_join(active, largest.drop("roots"), "gram").where("largest is not null")
+            largest, once_path = store(largest.drop("roots"), "largest")
+            marked = unique_join(active, largest, "gram", stored=True).where("largest is not null")
             small = marked.where("root <> largest").select("gram", *other, F.col("root").alias("root2"))
             pairs = _meet(marked.drop("largest"), small, percent).where("root <> root2")
             fresh = _distinct_pairs(pairs).join(tried, ["a", "b"], "left_anti")
         fresh, _ = store(fresh, "candidates")
+        drop(spark, once_path)
         tried = tried.unionByName(fresh)
         links = links.unionByName(store(verified(fresh, ordered, percent), "found")[0])
         if active_path:
@@ -294,10 +299,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     roots = components(class_links(ordered, percent, spanning=True))
     drop(spark, ordered_path)
     linked, _ = store(roots.join(classes, roots.node == classes.k).select("k", "root", "least", "rows"), "linked")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    of_linked = unique_join(linked, lowest, "root").select("k", F.col("lowest").alias("component"))
+    lowest, _ = store(linked.groupBy("root").agg(F.min("least").alias("lowest")), "lowest")
+    of_linked = unique_join(linked, lowest, "root", stored=True).select("k", F.col("lowest").alias("component"))
     of_copies = classes.where("rows > 1").join(linked.select("k"), "k", "left_anti").select("k", F.col("least").alias("component"))
+    placed, _ = store(of_linked.unionByName(of_copies), "placed")
     total = keys.count()
     heavy = classes.where(F.col("rows") >= max(2, total * HEAVY)).select("k")
-    found = unique_join(keys, of_linked.unionByName(of_copies), "k", heavy)
+    found = unique_join(keys, placed, "k", heavy, stored=True)
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
