@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.names import c, quoted
-from ..lineage import cut
+from ..lineage import remove, scratch, stored, writing
+from . import termlists
 from .graph import backlinks, resolved
 from .mentions import all_mentions
 
 
-__all__ = ["all_mentions", "classify", "dead_links", "found_in", "highlighted", "link_candidates", "linked_pairs", "nothing_found", "related", "search", "suggestions", "term_weights", "unlinked_mentions", "valid"]
+__all__ = ["all_mentions", "classify", "dead_links", "found_in", "highlighted", "link_candidates", "linked_pairs", "nothing_found", "related", "search", "suggestions", "unlinked_mentions", "valid"]
 
 
 def classify(text: str) -> tuple[str, str] | None:
@@ -87,25 +88,27 @@ def unlinked_mentions(notes: DataFrame, path: str, name: str) -> DataFrame:
     return free.where("count > 0").select("path", "title", md.snippet("text", name).alias("snippet"), "count")
 
 
-def term_weights(notes: DataFrame) -> DataFrame:
-    """path, term, weight: TF-IDF with frequencies relative to the note's length."""
-    terms = notes.select("path", md.terms("content").alias("terms")).select("path", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    counts = cut(terms.groupBy("path", "size", "term").agg(F.count(F.lit(1)).alias("n")))  # read several times, tokenised once
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = notes.select(F.count(F.lit(1))).scalar()
-    return counts.join(spread, "term").select("path", "term", ((F.col("n") / F.col("size")) * (F.log(total / F.col("df")) + 1)).alias("weight"))
-
-
 def related(notes: DataFrame, path: str, limit: int = 8) -> DataFrame:
-    """Notes closest to ``path`` by TF-IDF cosine: path, score, linked."""
-    weights = term_weights(notes)
-    mine = weights.where(F.col("path") == path).select("term", F.col("weight").alias("own"))
-    # one pass over all weights gives every norm and every product with the note
-    met = weights.join(mine, "term", "left").groupBy("path").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum(F.col("weight") * F.col("own")).alias("dot"))
-    own = F.sqrt(mine.agg(F.sum(F.col("own") * F.col("own"))).scalar())
-    near = resolved(notes).where(((F.col("src") == path) | (F.col("dst") == path)) & F.col("dst").isNotNull()).select(F.explode(F.array("src", "dst")).alias("path")).where(F.col("path") != path).distinct().withColumn("linked", F.lit(True))
-    scored = met.where((F.col("path") != path) & F.col("dot").isNotNull()).select("path", F.round(F.col("dot") / (F.col("norm") * own), 6).alias("score")).where("score > 0")
-    return scored.join(near, "path", "left").select("path", "score", F.coalesce("linked", F.lit(False)).alias("linked")).orderBy(F.desc("score"), "path").limit(limit)
+    """Notes closest to ``path`` by TF-IDF cosine: path, score, linked.
+
+    Texts are read once. Every note's norm takes the notes of every term, so
+    counts go by term and sums come back by note, as lists; what is stored for
+    that is deleted, since the answer has ``limit`` rows at most.
+    """
+    spark = notes.sparkSession
+    folder = scratch(spark, "related")
+    held, total = termlists.bags(notes, f"{folder}/bags")
+    mine = held.where(F.col("path") == path).select(F.inline("bag")).where("n > 0").select("term", F.col("n").alias("own"))
+    met = stored(termlists.sums(termlists.numbered(held), total, mine), f"{folder}/sums").where("dot > 0")
+    met = met.join(termlists.numbered(held.select("m", "path")).select("id", "path"), "id")
+    own = F.sqrt(met.where(F.col("path") == path).agg(F.max("squares")).scalar())
+    scored = met.where(F.col("path") != path).select("path", F.round(F.col("dot") / (F.sqrt("squares") * own), 6).alias("score")).where("score > 0")
+    near = termlists.neighbours(held, path).withColumn("linked", F.lit(True))
+    best = scored.orderBy(F.desc("score"), "path").limit(limit).join(near, "path", "left")
+    with writing(spark):
+        rows = best.select("path", "score", F.coalesce("linked", F.lit(False)).alias("linked")).orderBy(F.desc("score"), "path").collect()
+    remove(spark, folder)
+    return spark.createDataFrame(rows, "path string, score double, linked boolean").coalesce(1)
 
 
 def link_candidates(notes: DataFrame, texts: DataFrame, limit: int = 8) -> DataFrame:

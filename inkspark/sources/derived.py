@@ -38,11 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Labels up to which they are broadcast, so that no text is shuffled to meet them.
+FEW_LABELS = 1_000_000
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content, modified of a note for each document."""
-    docs = table(spark, sf_dir, "documents")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     total = docs.select(F.count(F.lit(1))).scalar()
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("n_all", total)
+    near = F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars").join(near, "doc_id", "left").withColumn("n_all", total)
     return base.selectExpr(f"{PATH} AS path", f"{CONTENT} AS content", f"{MODIFIED} AS modified")
 
 
