@@ -97,7 +97,8 @@ def related(notes: DataFrame, path: str, limit: int = 8) -> DataFrame:
     """
     spark = notes.sparkSession
     folder = scratch(spark, "related")
-    held, total = termlists.bags(notes, f"{folder}/bags")
+    bags, total = termlists.bags(notes, f"{folder}/bags")
+    held = spark.read.parquet(bags)
     mine = held.where(F.col("path") == path).select(F.inline("bag")).where("n > 0").select("term", F.col("n").alias("own"))
     met = stored(termlists.sums(termlists.numbered(held), total, mine), f"{folder}/sums").where("dot > 0")
     met = met.join(termlists.numbered(held.select("m", "path")).select("id", "path"), "id")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
@@ -25,15 +25,17 @@ from ..lineage import remove, stored
 #: Words that a task counts at once.
 TOKENS = 500_000
 #: Entries that a task turns into lists by term at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Entries whose squares and products a task sums by note at once.
 SUMS = 1_500_000
 #: Notes up to which their norms are broadcast.
 FEW_NOTES = 1_000_000
+#: Notes of a span, as a power of two.
+SPAN = 20
 #: Levels of impact: each is eight to a factor of two, the last holds all below.
 LEVELS, STEPS = 127, 8
 
-BAG = "array<struct<term:string,n:int,word:boolean>>"
+BAG = "array<struct<term:string,n:int,word:int>>"
 LIST = "term string, first long, at array<int>, n array<int>"
 
 
@@ -60,7 +62,7 @@ def _cut(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """size, bag of each row (…, tokens, more): distinct words with their count as terms, and whether they are significant.
+    """size, bag of each row (…, tokens, more): distinct words with their count as terms, and in how many rows they are significant.
 
     ``more`` are significant words besides the tokens; a row where it is null has none at all.
     """
@@ -79,14 +81,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, extra = np.bincount(place[: len(said)], minlength=len(found)), np.bincount(place[len(said) :], minlength=len(found)) > 0
         n, word = np.where(is_term[code], times, 0), ((times > 0) & is_word[code] | extra) & more.is_valid().to_numpy(zero_copy_only=False)[row]
         keep = (n > 0) | word
-        entry = pa.StructArray.from_arrays([known.take(pa.array(code[keep])), pa.array(n[keep], pa.int32()), pa.array(word[keep])], ["term", "n", "word"])
+        entry = pa.StructArray.from_arrays([known.take(pa.array(code[keep])), pa.array(n[keep], pa.int32()), pa.array(word[keep], pa.int32())], ["term", "n", "word"])
         rest = [c for c in batch.schema.names if c not in ("tokens", "more")]
         sizes = np.bincount(row[keep], minlength=len(batch))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sizes, pa.int32()), _lists(entry, sizes)], [*rest, "size", "bag"])
 
 
-def bags(notes: DataFrame, folder: str) -> tuple[DataFrame, int]:
-    """m, path, order, links, size, bag of every note (path, content), written to ``folder``, and how many rows there were.
+def bags(notes: DataFrame, folder: str) -> tuple[str, int]:
+    """The folder, ``folder`` or one beside it, of m, path, order, links, size, bag of every note (path, content), and how many rows there were.
 
     ``m`` numbers the rows, ascending in every file. Rows of one path are one
     note; only where there are some is the table written a second time.
@@ -105,17 +107,17 @@ def bags(notes: DataFrame, folder: str) -> tuple[DataFrame, int]:
     total = read.count()
     again = read.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("path").alias("_path"))
     if not again.limit(1).count():
-        return read, total
+        return folder, total
     same = F.col("path").eqNullSafe(F.col("_path"))
     several = read.join(again, same, "left_semi")
-    bag = several.select("path", F.inline("bag")).groupBy("path", "term").agg(F.sum("n").cast("int").alias("n"), F.max("word").alias("word"))
+    bag = several.select("path", F.inline("bag")).groupBy("path", "term").agg(F.sum("n").cast("int").alias("n"), F.sum("word").cast("int").alias("word"))
     bag = bag.groupBy("path").agg(F.collect_list(F.struct("term", "n", "word")).alias("bag")).withColumnRenamed("path", "_path")
     heads = several.groupBy("path").agg(F.max("order").alias("order"), F.flatten(F.collect_list("links")).alias("links"))
     merged = heads.join(bag, same, "left").select("path", "order", "links", F.coalesce("bag", F.array().cast(BAG)).alias("bag"))
     alone = read.join(again, same, "left_anti").select("path", "order", "links", "bag")
-    once = stored(numbered(alone.unionByName(merged).withColumn("size", F.size("bag"))), f"{folder}-once")
+    stored(numbered(alone.unionByName(merged).withColumn("size", F.size("bag"))), f"{folder}-once")
     remove(notes.sparkSession, folder)
-    return once, total
+    return f"{folder}-once", total
 
 
 def numbered(held: DataFrame) -> DataFrame:
@@ -144,25 +146,27 @@ def _turned(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.Record
 
 def _by_term(hold: list[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(hold)
-    bag = _values(table.column("bag"))
-    ids = table.column("id").to_numpy()
-    entry, row = bag.flatten(), np.repeat(np.arange(len(ids)), _sizes(bag))
+    bag, ids = _values(table.column("bag")), table.column("id").to_numpy()
+    entry, row = bag.flatten(), np.repeat(np.arange(len(ids), dtype=np.int32), _sizes(bag))
     n = entry.field("n").to_numpy()
     keep = np.arange(len(row)) if more else np.flatnonzero(n > 0)
     if not len(keep):
         return
-    terms = entry.field("term").take(pa.array(keep)).dictionary_encode()
+    terms = entry.field("term") if more else entry.field("term").take(pa.array(keep))
+    terms = terms.dictionary_encode()
     key = (terms.indices.to_numpy().astype(np.int64) << 32) | np.arange(len(keep))
     key.sort()
-    at, sizes = keep[key & 0xFFFFFFFF], np.bincount(key >> 32, minlength=len(terms.dictionary))
-    first = int(ids.min())
-    columns = {"at": (ids[row[at]] - first).astype(np.int32), "n": n[at]}
+    sizes = np.bincount(key >> 32, minlength=len(terms.dictionary))
+    key &= 0xFFFFFFFF
+    at, first = keep[key], int(ids.min())
+    columns = {"at": (ids - first).astype(np.int32)[row[at]], "n": n[at]}
     if more:
-        norm = table.column("norm").to_numpy()[row[at]]
-        columns |= {"level": level(columns["n"] / np.where(norm > 0, norm, 1)), "word": entry.field("word").to_numpy(zero_copy_only=False)[at]}
+        norm = table.column("norm").to_numpy()
+        columns |= {"level": level(columns["n"] / np.where(norm > 0, norm, 1).astype(np.float32)[row[at]]), "word": entry.field("word").to_numpy()[at]}
     lists = [_lists(pa.array(v), sizes) for v in columns.values()]
     whole = pa.RecordBatch.from_arrays([terms.dictionary, pa.array(np.full(len(sizes), first)), *lists], ["term", "first", *columns])
-    del key, at, entry, bag, table, terms
+    del key, at, keep, row, n, entry, bag, table, terms, lists, columns
+    hold.clear()
     pa.default_memory_pool().release_unused()
     for start in range(0, len(whole), 20_000):
         yield whole.slice(start, 20_000)
@@ -171,12 +175,12 @@ def _by_term(hold: list[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]
 def level(impact: np.ndarray) -> np.ndarray:
     """Levels of impacts (0 to 1), falling; of no impact the last."""
     with np.errstate(divide="ignore"):
-        return np.clip(np.floor(-np.log2(impact) * STEPS), 0, LEVELS).astype(np.int8)
+        return np.clip(np.floor(-np.log2(impact.astype(np.float32)) * STEPS), 0, LEVELS).astype(np.int8)
 
 
 def bound(levels: np.ndarray) -> np.ndarray:
-    """What no impact of a level exceeds."""
-    return np.exp2(-levels.astype(float) / STEPS) * (1 + 1e-9)
+    """What no impact of a level exceeds; levels are taken in single precision."""
+    return np.exp2(-levels.astype(float) / STEPS) * (1 + 1e-5)
 
 
 def by_term(rows: DataFrame) -> DataFrame:
@@ -186,7 +190,7 @@ def by_term(rows: DataFrame) -> DataFrame:
 
 def by_impact(rows: DataFrame) -> DataFrame:
     """The same of rows (id, bag, norm) with levels of impact, and of words that are no terms (n is 0)."""
-    return rows.select("id", "bag", "norm").mapInArrow(lambda batches: _turned(batches, True), f"{LIST}, level array<tinyint>, word array<boolean>")
+    return rows.select("id", "bag", "norm").mapInArrow(lambda batches: _turned(batches, True), f"{LIST}, level array<tinyint>, word array<int>")
 
 
 def _summed(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
@@ -228,6 +232,78 @@ def sums(rows: DataFrame, total: int, mine: DataFrame | None = None) -> DataFram
     return parts.groupBy("id").agg(F.sum("squares").alias("squares"), F.sum("dot").alias("dot"))
 
 
+def _laid(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (bucket, term, span, first, at, n, level, word) that come sorted by the first four.
+
+    A term's lists of one span are put together, by falling impact. The last
+    term and span of what is held waits for what may follow.
+    """
+    hold, size = [], 0
+    for batch in _cut(batches, "at", SUMS):
+        hold.append(batch)
+        size += int(_sizes(batch.column("at")).sum())
+        if size < SUMS:
+            continue
+        table = pa.Table.from_batches(hold)
+        last = table.num_rows - 1
+        same = pc.and_(pc.equal(table["term"], table["term"][last]), pc.equal(table["span"], table["span"][last]))
+        start = int(pc.index(same, True).as_py())
+        if start:
+            yield from _blocks(table.slice(0, start), block)
+        hold = table.slice(start).to_batches()
+        size = sum(int(_sizes(b.column("at")).sum()) for b in hold)
+        if not start:  # one term's lists are held to their end
+            size = 0
+    if hold:
+        yield from _blocks(pa.Table.from_batches(hold), block)
+
+
+def _blocks(table: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
+    terms = _values(table["term"])
+    codes, spans = terms.dictionary_encode().indices.to_numpy(), table["span"].to_numpy()
+    begins = np.concatenate([[True], (codes[1:] != codes[:-1]) | (spans[1:] != spans[:-1])])
+    at = _values(table["at"])
+    sizes, row = _sizes(at), np.flatnonzero(begins)
+    group = np.repeat(np.cumsum(begins) - 1, sizes)
+    levels = _values(table["level"]).flatten().to_numpy()
+    key = ((group.astype(np.int64) * (LEVELS + 1) + levels) << 32) | np.arange(len(group))
+    key.sort()
+    order, group = key & 0xFFFFFFFF, (key >> 32) // (LEVELS + 1)
+    n = _values(table["n"]).flatten().to_numpy()[order]
+    held = np.bincount(group, minlength=len(row))
+    place = np.arange(len(group)) - np.repeat(np.cumsum(held) - held, held)
+    starts = np.flatnonzero(place % block == 0)
+    lengths = np.diff(np.concatenate([starts, [len(group)]]))
+    ids = (np.repeat(table["first"].to_numpy(), sizes) + at.flatten().to_numpy())[order]
+    word = _values(table["word"]).flatten().to_numpy()[order]
+    mine = group[starts]
+    df = np.bincount(group, n > 0, minlength=len(row)).astype(np.int64)
+    rows = pa.array(row[mine])
+    whole = pa.RecordBatch.from_arrays(
+        [
+            _values(table["bucket"]).take(rows), terms.take(rows), pa.array((place[starts] // block).astype(np.int32)), pa.array(df[mine]),
+            pa.array(bound(levels[order][starts])), _lists(pa.array(ids), lengths), _lists(pa.array(n, pa.int32()), lengths), _lists(pa.array(word), lengths),
+        ],
+        ["bucket", "term", "block", "df", "best", "ids", "n", "word"],
+    )
+    pa.default_memory_pool().release_unused()
+    for start in range(0, len(whole), 20_000):
+        yield whole.slice(start, 20_000)
+
+
+def blocks(lists: DataFrame, tasks: int, task: Column, block: int) -> DataFrame:
+    """bucket, term, block, df, best, ids, n, word of lists by impact with a ``bucket``, laid by ``task`` (below ``tasks``).
+
+    The lists of a term lie in spans of ``SPAN`` notes, each in a task of its
+    own and numbered from 0; ``df`` counts the notes of a span that have the
+    term, and ``best`` exceeds count over norm of a block's every note.
+    """
+    spans = lists.withColumn("span", F.shiftright("first", SPAN))
+    dealt = spans.repartitionById(tasks, F.pmod(task + F.col("span"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", "term", "span", "first")
+    kept = dealt.select("bucket", "term", "span", "first", "at", "n", "level", "word")
+    return kept.mapInArrow(lambda batches: _laid(batches, block), "bucket int, term string, block int, df long, best double, ids array<long>, n array<int>, word array<int>")
+
+
 def resolved(held: DataFrame) -> DataFrame:
     """src, target, name, dst: the links of ``held`` (path, order, links), as ``graph.resolved`` gives them."""
     rows = held.select(F.col("path").alias("src"), F.explode("links").alias("target")).withColumn("name", F.lower("target"))

@@ -1,11 +1,13 @@
 """The stored term index against the scan it stands for."""
 
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkspark.operators import search
+from inkspark.operators import search, termlists
 from inkspark.operators.termindex import TermIndex
 from inkspark.sources import derived
 
@@ -67,3 +69,46 @@ def test_opened_again(spark, index):
     again = TermIndex(spark, index.folder)
     path = again.read("forward").first().path
     assert [tuple(r) for r in again.related(path).collect()] == [tuple(r) for r in index.related(path).collect()]
+
+
+def test_index_is_no_larger_than_a_few_bytes_a_posting(spark, tmp_path):
+    """A posting held its note's path and its impact, and so did the note's own row."""
+    notes = spark.createDataFrame([(f"some/folder/note {i}.md", " ".join(f"word{i * j * j % 1997}" for j in range(400))) for i in range(400)], "path string, content string")
+    ix = TermIndex.build(notes, str(tmp_path / "ix"))
+    postings = sum(r.df for r in ix.read("terms").collect())
+    held = sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet"))
+    assert held < 8 * postings
+    assert [tuple(r) for r in ix.related("some/folder/note 7.md").collect()] == [tuple(r) for r in search.related(notes, "some/folder/note 7.md").collect()]
+
+
+def test_rows_of_one_path_are_one_note(spark, tmp_path):
+    rows = [("a.md", "zebra quagga okapi [[b]]"), ("b.md", "zebra zebra lemur"), ("b.md", "quagga okapi tapir tapir zebra"), ("c.md", "okapi lemur"), ("d.md", "")]
+    notes = spark.createDataFrame(rows, "path string, content string")
+    ix = TermIndex.build(notes, str(tmp_path / "ix"), block=2)
+    assert [tuple(r) for r in ix.related("a.md").collect()] == [tuple(r) for r in search.related(notes, "a.md").collect()]
+    assert [r.path for r in ix.related("a.md").collect()] == ["b.md", "c.md"] and TermIndex(spark, ix.folder).read("forward").count() == 4
+    texts = spark.createDataFrame([(1, "lemur tapir zebra")], "id int, text string")
+    assert sorted(map(tuple, ix.candidates(texts).collect())) == sorted(map(tuple, search.link_candidates(notes, texts).collect()))
+
+
+@pytest.mark.parametrize("size", [1, 5, 1 << 20])
+def test_blocks_do_not_depend_on_what_is_held_at_once(monkeypatch, size):
+    made = random.Random(3)
+    rows = []
+    for term, chunks in (("a", 1), ("b", 4), ("c", 2), ("d", 1)):
+        for k in range(chunks):
+            at = sorted(made.sample(range(50), made.randint(1, 9)))
+            n = [made.randint(0, 3) for _ in at]
+            rows.append({"bucket": 1, "term": term, "span": 0, "first": 100 * k, "at": at, "n": n, "level": [made.randint(0, 9) if x else 127 for x in n], "word": [1] * len(at)})
+    kinds = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("span", pa.int64()), ("first", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("level", pa.list_(pa.int8())), ("word", pa.list_(pa.int32()))])
+    monkeypatch.setattr(termlists, "SUMS", size)
+    batches = pa.Table.from_pylist(rows, schema=kinds).to_batches(max_chunksize=2)
+    got = pa.Table.from_batches(termlists._laid(iter(batches), 3)).to_pylist()
+    for term in "abcd":
+        mine = [r for r in rows if r["term"] == term]
+        want = sorted((level, r["first"] + i, n) for r in mine for i, level, n in zip(r["at"], r["level"], r["n"], strict=True))
+        blocks = [b for b in got if b["term"] == term]
+        assert [b["block"] for b in blocks] == list(range(-(-len(want) // 3)))
+        assert [x for b in blocks for x in zip(b["ids"], b["n"], strict=True)] == [x[1:] for x in want]
+        assert {b["df"] for b in blocks} == {sum(n > 0 for _, _, n in want)}
+        assert all(b["best"] >= 2 ** (-want[3 * b["block"]][0] / 8) for b in blocks)

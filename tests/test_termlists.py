@@ -28,7 +28,8 @@ def odd(spark):
 
 
 def test_bags_hold_terms_and_significant_words(spark, odd):
-    held, total = termlists.bags(odd, scratch(spark, "bags"))
+    folder, total = termlists.bags(odd, scratch(spark, "bags"))
+    held = spark.read.parquet(folder)
     got = {r.path: r.bag for r in held.collect()}
     whole = F.concat(md.title("path", "content"), F.lit(" "), F.col("content"))
     want = odd.select("path", md.terms("content").alias("terms"), md.significant_terms(whole).alias("words")).collect()
